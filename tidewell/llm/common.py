@@ -45,3 +45,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def heat_threshold(rows: int, partitions: int, floor: int = 256) -> int:
     """Rows from which a key is hot. At most ``8 * partitions`` keys can reach it, whatever the data."""
     return max(floor, math.ceil(rows / (8 * max(1, partitions))))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hold Arrow batches to so many rows, for texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+#: bytes.translate table: A-Z to lower case, every byte outside a word to a space.
+WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
+
+
+#: Rows of (long, long) up to which a counted table is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of a few numbers a row if its counted rows are within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, license_scan
+from tidewell.llm import decontaminate, exact_dedup, license_scan, minhash_dedup, mixing, secret_scan
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op6_source_mixing": mixing.op6_source_mixing,
+    "op9_minhash_near_dedup": minhash_dedup.op9_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op4_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_minhash_near_dedup": minhash_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
