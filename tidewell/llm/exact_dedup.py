@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, durable, heat_threshold, shuffle_partitions, table, text_of
+from tidewell.llm.common import ascii_lower, durable, heat_threshold, shuffle_partitions, sized_broadcast, table, text_of
 
 LEAD, ENDS = 16, 48
 
@@ -92,8 +92,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows are left once."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    """The documents that stay, with all their columns; repeated rows are left once.
+
+    Where every row has an id of its own, the ids to drop are enough; else ids and digests are joined.
+    """
+    decided = durable(exact_dedup(docs))
+    if decided.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 OR doc_id IS NULL").isEmpty():
+        gone = decided.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     one = Window.partitionBy("_kept_id", "_kept_sha").orderBy(F.lit(1))
     named = docs.withColumn("_sha", F.sha2(F.encode(ascii_lower(text_of()), "UTF-8"), 256))
     return (

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from tidewell.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, pii, quality, secret_scan
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_license_scan": license_scan.op2_license_scan,
@@ -15,6 +23,7 @@ QUERIES = {
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_minhash_near_dedup": minhash_dedup.op9_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
