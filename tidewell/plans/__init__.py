@@ -1,0 +1,15 @@
+"""Named queries over the engine, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from tidewell.plans import endpoint_queries
+
+    return {**endpoint_queries.QUERIES}
+
+
+def oracles() -> dict:
+    from tidewell.plans import endpoint_queries
+
+    return {**endpoint_queries.ORACLES}
