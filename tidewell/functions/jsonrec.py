@@ -100,25 +100,25 @@ def record_endpoints(df: DataFrame, element: str = "element", is_text: str = "is
     Rows still have to pass the gate. All in one narrow stage: staged projections and one explode.
     """
     blank = rf"(?s)^{WS}.*|.*{WS}\z"
-    d = bind(df, _v=F.when(~F.col(is_text), F.try_parse_json(F.col(element))))
+    d = bind(df, _jv=F.when(~F.col(is_text), F.try_parse_json(F.col(element))))
     d = bind(
         d,
-        _host=F.when(F.col(is_text), F.col(element)).otherwise(first_string(F.col("_v"), HOST_KEYS)),
-        _user=first_string(F.col("_v"), USER_KEYS),
-        _pass=first_string(F.col("_v"), PASS_KEYS),
-        _own=F.coalesce(declared_schemes(F.col("_v")), F.array().cast(STRINGS)),
+        _jhost=F.when(F.col(is_text), F.col(element)).otherwise(first_string(F.col("_jv"), HOST_KEYS)),
+        _juser=first_string(F.col("_jv"), USER_KEYS),
+        _jpass=first_string(F.col("_jv"), PASS_KEYS),
+        _jown=F.coalesce(declared_schemes(F.col("_jv")), F.array().cast(STRINGS)),
     )
-    d = d.filter(F.col("_host").isNotNull() & ~F.col("_host").rlike(blank))
-    dedicated = F.col("_user").isNotNull() | F.col("_pass").isNotNull()
-    port_at = F.try_variant_get("_v", "$.port", "variant")
+    d = d.filter(F.col("_jhost").isNotNull() & ~F.col("_jhost").rlike(blank))
+    dedicated = F.col("_juser").isNotNull() | F.col("_jpass").isNotNull()
+    port_at = F.try_variant_get("_jv", "$.port", "variant")
     number = "^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT|STRING)"
     d = bind(
         d,
         _dedicated=dedicated,
-        _end=F.when(dedicated, without_userinfo(F.col("_host"))).otherwise(F.col("_host")),
-        _declared=F.size("_own") > 0,
-        _schemes=F.when(F.size("_own") > 0, F.col("_own")).when(F.col(default).isNotNull(), F.array(F.col(default))).otherwise(F.array().cast(STRINGS)),
-        _port=F.when(F.schema_of_variant(port_at).rlike(number), F.get_json_object(F.col(element), "$.port")),
+        _end=F.when(dedicated, without_userinfo(F.col("_jhost"))).otherwise(F.col("_jhost")),
+        _jdeclared=F.size("_jown") > 0,
+        _schemes=F.when(F.size("_jown") > 0, F.col("_jown")).when(F.col(default).isNotNull(), F.array(F.col(default))).otherwise(F.array().cast(STRINGS)),
+        _jport=F.when(F.schema_of_variant(port_at).rlike(number), F.get_json_object(F.col(element), "$.port")),
     )
     own_scheme = F.contains("_end", F.lit("://"))
     d = bind(d, _self=own_scheme, _desc=own_scheme | F.contains("_end", F.lit("]")), _default=F.when(~own_scheme, F.get("_schemes", F.lit(0))))
@@ -126,16 +126,16 @@ def record_endpoints(df: DataFrame, element: str = "element", is_text: str = "is
     d = with_host(d, "_e_host", "_e_ok")
     d = with_host(d, "_end", "_end_ok")
     parsed = F.col("_e_ok").isNotNull() & port_number(F.col("_e_port")).isNotNull() & F.col("_e_scheme").isNotNull() & credentials_ok(F.col("_e_user"), F.col("_e_pass"))
-    tail_is_port = F.col("_port").isNotNull() & ~F.col("_desc") & F.col("_end_ok").isNotNull()
+    tail_is_port = F.col("_jport").isNotNull() & ~F.col("_desc") & F.col("_end_ok").isNotNull()
     d = bind(d, _hit=F.coalesce(parsed, F.lit(False)) & ~(F.coalesce(tail_is_port, F.lit(False)) & ~F.col(is_text)))
-    fan = F.when(F.col("_hit") & (F.col("_self") | (F.size("_schemes") == 0) | ~(F.col("_declared") & ~F.col("_desc"))), F.when(F.col("_self") | (F.size("_schemes") <= 1), F.array("_e_scheme")).otherwise(F.col("_schemes"))).when(F.col("_hit"), F.col("_schemes")).when(~F.col(is_text), F.col("_schemes"))
+    fan = F.when(F.col("_hit") & (F.col("_self") | (F.size("_schemes") == 0) | ~(F.col("_jdeclared") & ~F.col("_desc"))), F.when(F.col("_self") | (F.size("_schemes") <= 1), F.array("_e_scheme")).otherwise(F.col("_schemes"))).when(F.col("_hit"), F.col("_schemes")).when(~F.col(is_text), F.col("_schemes"))
     d = d.withColumn("scheme", F.explode(fan))
-    own_user = F.when(F.col("_dedicated"), F.col("_user")).otherwise(F.when(F.col("_hit"), F.col("_e_user")))
-    own_pass = F.when(F.col("_dedicated"), F.col("_pass")).otherwise(F.when(F.col("_hit"), F.col("_e_pass")))
+    own_user = F.when(F.col("_dedicated"), F.col("_juser")).otherwise(F.when(F.col("_hit"), F.col("_e_user")))
+    own_pass = F.when(F.col("_dedicated"), F.col("_jpass")).otherwise(F.when(F.col("_hit"), F.col("_e_pass")))
     d = d.withColumns(
         {
             "host": F.when(F.col("_hit"), F.col("_e_host")).when(F.col("_end_ok").isNotNull(), F.col("_end")),
-            "port": F.when(F.col("_hit"), F.col("_e_port")).otherwise(F.col("_port")),
+            "port": F.when(F.col("_hit"), F.col("_e_port")).otherwise(F.col("_jport")),
             "user": own_user,
             "pass": own_pass,
         }

@@ -25,7 +25,8 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     """Whole seconds, or an HTTP date less ``now`` (0 at least), or 5; held to 1..120."""
     t = F.trim(header)
     whole = F.when(t.rlike(r"^\+?[0-9]+\z"), F.coalesce(t.try_cast("bigint"), F.lit(120)))
-    dated = F.greatest(F.lit(0), http_date_seconds(t) - now)
+    at = http_date_seconds(t)
+    dated = F.when(at.isNotNull(), F.greatest(F.lit(0), at - now))
     return F.least(F.lit(120), F.greatest(F.lit(1), F.coalesce(whole, dated, F.lit(5)))).cast("bigint")
 
 

@@ -60,14 +60,14 @@ def stop_reasons(pages: DataFrame, chain: list[str], record_cap: int) -> DataFra
         F.when(~F.col("ok") & F.col("cancelled"), "harvest interrupted")
         .when(~F.col("ok") & F.col("late"), "provider time budget")
         .when(~F.col("ok"), "fetch failed")
-        .when("panicked", "parser panicked")
+        .when(F.col("panicked"), "parser panicked")
         .when(F.col("n_records") >= record_cap, "page record cap")
         .when(F.col("advance_error").isNotNull(), "truncated, not exhausted")
         .when(~F.col("has_next"), "exhausted")
-        .when("seen", "seen")
-        .when("cancelled", "harvest interrupted")
+        .when(F.col("seen"), "seen")
+        .when(F.col("cancelled"), "harvest interrupted")
         .when(F.col("page") >= F.col("max_requests"), "stopped at max_requests")
-        .when("late", "provider time budget")
+        .when(F.col("late"), "provider time budget")
         .otherwise("missing page")
     )
     silent = F.col("reason").isin("exhausted", "seen")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from tidewell.plans import endpoint_queries, extract_queries, run_queries
 
-def queries() -> dict:
-    from tidewell.plans import endpoint_queries
 
-    return {**endpoint_queries.QUERIES}
+def queries() -> dict:
+    return {**endpoint_queries.QUERIES, **extract_queries.QUERIES, **run_queries.QUERIES}
 
 
 def oracles() -> dict:
-    from tidewell.plans import endpoint_queries
-
-    return {**endpoint_queries.ORACLES}
+    return {**endpoint_queries.ORACLES, **extract_queries.ORACLES, **run_queries.ORACLES}
