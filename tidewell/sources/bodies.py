@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.functions.entry import parse_entries
 from tidewell.functions.gate import gate
@@ -30,7 +31,7 @@ def charset_of(content_type: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("UTF-8"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _other_charset(content: pd.Series, charset: pd.Series) -> pd.Series:
     def one(raw, name):
         if raw is None:
