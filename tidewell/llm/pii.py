@@ -29,8 +29,8 @@ from tidewell.llm.common import small_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 12  # tokens of an entity
-AROUND = 3  # tokens kept beside a trigger
-FIT_ISLANDS, FIT_TOKENS, EPOCHS = 1_200, 48, 6
+AROUND = 6  # tokens kept beside a trigger: a domain may end so far after the last digit
+FIT_ISLANDS, FIT_TOKENS, EPOCHS = 1_200, 64, 6
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
