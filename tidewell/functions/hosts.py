@@ -85,19 +85,15 @@ def with_ipv6(df: DataFrame, text: Column, hex32: str, canon: str) -> DataFrame:
     groups = F.when(full, F.split("_v6", ":")).when(short, F.concat(parts(F.col("_head")), F.array_repeat(F.lit("0"), 8 - size(F.col("_head")) - size(F.col("_rest"))), parts(F.col("_rest"))))
     df = bind(df, _groups=groups)
     df = bind(df, **{hex32: F.array_join(F.transform("_groups", lambda g: F.lpad(g, 4, "0")), "")}, _plain=F.array_join(F.transform("_groups", lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0"))), ":"))
-    zeros = lambda n: "0" + ":0" * (n - 1)
-    compressed = F.when(F.col("_plain") == zeros(8), F.lit("::"))
-    for n in range(7, 1, -1):  # the longest run of zero groups, the first of equals
-        run = rf"(?:^|:){zeros(n)}(?::|\z)"
-        at = F.regexp_instr(F.col("_plain"), F.lit(run))
-        begin = F.when(F.left("_plain", F.lit(2 * n - 1)) == zeros(n), F.lit(0)).otherwise(at)
-        first = F.left(F.col("_plain"), F.greatest(begin - 1, F.lit(0)))
-        last = F.expr("_plain").substr(begin + F.lit(2 * n + 1), F.length("_plain"))
-        last = F.when(begin == 0, F.expr("_plain").substr(F.lit(2 * n + 1), F.length("_plain"))).otherwise(last)
-        compressed = compressed.when(F.col("_plain").rlike(run), F.concat(first, F.lit("::"), last))
+    # the longest run of two zero groups or more, the first of equals
+    df = bind(df, _x=F.concat(F.lit(":"), "_plain", F.lit(":")))
+    longest = F.array_max(F.transform(F.regexp_extract_all("_x", F.lit("(?::0)+(?=:)"), F.lit(0)), lambda r: F.length(r)))
+    df = bind(df, _run=F.when(longest >= 4, F.concat(F.repeat(F.lit(":0"), (longest / 2).cast("int")), F.lit(":"))))
+    df = bind(df, _at=F.expr("instr(_x, _run)"))
+    compressed = F.when(F.col("_run").isNotNull(), F.expr("concat(substring(_x, 2, _at - 2), '::', substring(_x, _at + length(_run), greatest(0, length(_x) - _at - length(_run))))"))
     mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(hex32, 25, 8), 16, 10).cast("bigint")))
-    df = bind(df, **{canon: F.when(F.substring(hex32, 1, 24) == "0" * 20 + "ffff", mapped).otherwise(compressed.otherwise(F.col("_plain")))})
-    return df.drop("_v6", "_tail4", "_n4", "_head", "_rest", "_groups", "_plain")
+    df = bind(df, **{canon: F.when(F.substring(hex32, 1, 24) == "0" * 20 + "ffff", mapped).otherwise(F.coalesce(compressed, "_plain"))})
+    return df.drop("_v6", "_tail4", "_n4", "_head", "_rest", "_groups", "_plain", "_x", "_run", "_at")
 
 
 def valid_hostname(name: Column) -> Column:
