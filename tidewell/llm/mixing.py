@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, table
+from tidewell.llm.common import durable, shuffle_partitions, table
 
 BLOCK = 64  # words
 MOST = 3  # times a source's size
@@ -107,7 +107,8 @@ def draw(plan: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"_s": s, "shard": shard, "slot": slot, "block": block})
 
     drawn = plan.filter("slots > 0").select("_s", "blocks", "slots").mapInPandas(counts, "_s string, blocks long, shard long, first long, n long")
-    return drawn.repartition("_s", "shard").mapInPandas(fill, "_s string, shard long, slot long, block long")
+    # few small rows that grow to many: a given number of tasks, which AQE doesn't merge
+    return drawn.repartition(shuffle_partitions(plan.sparkSession), "_s", "shard").mapInPandas(fill, "_s string, shard long, slot long, block long")
 
 
 def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
