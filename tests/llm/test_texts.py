@@ -55,8 +55,10 @@ def test_near_odd(odd_docs, no_docs):
     assert {r["doc_id"] for r in minhash_dedup.keep_one_of_each(odd_docs).collect()} == {None, 1, 3, 4, 5, 8, 9, 10, 11, 12}
 
 
-def test_near_large_group_and_chains(spark):
-    """A group above the region size, chains of edits, and passages that many documents share."""
+@pytest.mark.parametrize("chunk", [400_000, 200])
+def test_near_large_group_and_chains(spark, monkeypatch, chunk):
+    """A group above the region size, chains of edits, and passages that many documents share. Small chunks cut regions."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(4000)]
     base = list(rng.choice(words, 120))

@@ -8,7 +8,7 @@ Words (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case) make 5-word shingles; document
   (tree, values) rows and an external sort orders them, so a region of any size spreads over tasks. Rows near each
   other in that order that share at least ``MIN_DEPTH`` leading values are candidates; and every row is paired
   with the smallest id of its region, the rows sharing so many leading values that at most ``REGION`` do
-  (or all values). Rows at partition edges are compared in a second, small pass. The number of candidates
+  (or all values). Rows at the ends of chunks are compared in a second, small pass. The number of candidates
   is linear in the rows, whatever the size of a group.
 * Candidates whose 1-bit sketches or sizes exclude the similarity (by over four standard deviations, or
   strictly) go no further. Each row's smallest candidate is confirmed first; the components of
@@ -29,7 +29,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +42,7 @@ NEIGHBOURS = 3
 REGION = 64
 TIGHT = 0.96  # share of equal bits from which only the next neighbour is needed beside the region's smallest id
 EQUAL_BITS = 0.74  # 0.875 is expected at similarity 0.75; the deviation is 0.034
+CHUNK = 400_000  # rows of the forest held at once
 PER_CHUNK = 64  # members compared with one copy of a hub's text
 
 _RNG = np.random.default_rng(5_711)
@@ -162,16 +162,24 @@ def candidates_in(f: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk(batches):
-    frames = list(batches)  # one range partition: numbers only, bounded by the partition's size
-    if not frames:
-        return
-    frame = pd.concat(frames, ignore_index=True)
+    """Pairs of each chunk of a range partition, and the rows at the chunk's ends, for a second pass over all ends."""
+    frames, n = [], 0
+    for frame in batches:
+        frames.append(frame)
+        n += len(frame)
+        if n >= CHUNK:
+            yield from _chunk(pd.concat(frames, ignore_index=True))
+            frames, n = [], 0
+    if n:
+        yield from _chunk(pd.concat(frames, ignore_index=True))
+
+
+def _chunk(frame: pd.DataFrame):
     a, b = candidates_in({c: frame[c].to_numpy() for c in ROW})
     for i in range(0, len(a), 65_536):
         yield pd.DataFrame({"a": a[i : i + 65_536], "b": b[i : i + 65_536]}).reindex(columns=["a", "b", *ROW]).astype("Int64")
-    if TaskContext.get() is not None:
-        edge = frame.iloc[sorted({*range(min(NEIGHBOURS, len(frame))), *range(max(0, len(frame) - NEIGHBOURS), len(frame))})]
-        yield edge.reindex(columns=["a", "b", *ROW]).astype("Int64")
+    ends = frame.iloc[sorted({*range(min(NEIGHBOURS, len(frame))), *range(max(0, len(frame) - NEIGHBOURS), len(frame))})]
+    yield ends.reindex(columns=["a", "b", *ROW]).astype("Int64")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -179,7 +187,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = classes.select(F.posexplode(F.arrays_zip("high", "low")).alias("tree", "v"), "node", "n", "b0", "b1").select("tree", F.col("v.high").alias("high"), F.col("v.low").alias("low"), "node", "n", "b0", "b1")
     ordered = rows.repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
     found = durable(ordered.mapInPandas(_walk, FOUND))
-    # at most 2 * NEIGHBOURS rows for each partition of the forest
+    # at most 2 * NEIGHBOURS rows for each chunk of the forest
     edges = found.filter("a IS NULL").select(*ROW).repartition(1).sortWithinPartitions("tree", "high", "low", "node")
     return found.select("a", "b").unionByName(edges.mapInPandas(_walk, FOUND).select("a", "b")).filter("a IS NOT NULL").distinct()
 
