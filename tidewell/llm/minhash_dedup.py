@@ -13,6 +13,8 @@ Words (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case) make 5-word shingles; document
 * Candidates whose 1-bit sketches or sizes exclude the similarity (by over four standard deviations, or
   strictly) go no further. Each row's smallest candidate is confirmed first; the components of
   those links settle most of the others, and every candidate that still joins two components is confirmed too.
+* Rows that nearly link to another component look at ``WIDE`` neighbours on either side in every tree, among the
+  components concerned, because one of many slightly different members may be similar where others are not.
 
 A link between unequal texts can only be missed if no tree brings its rows together; the chance is below 1e-4
 at similarity 0.75 for a region of ordinary size, and recall is measured in the tests.
@@ -40,6 +42,8 @@ SIMILAR = 75  # hundredths
 TREES, DEPTH, MIN_DEPTH = 16, 6, 2
 NEIGHBOURS = 3
 REGION = 64
+NEARLY = 70  # hundredths of similarity from which a row that missed a component is looked at again
+WIDE = 12  # neighbours on either side, then
 TIGHT = 0.96  # share of equal bits from which only the next neighbour is needed beside the region's smallest id
 EQUAL_BITS = 0.74  # 0.875 is expected at similarity 0.75; the deviation is 0.034
 CHUNK = 400_000  # rows of the forest held at once
@@ -123,15 +127,16 @@ def _near(f: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return i[ok], j[ok], equal[ok]
 
 
-def candidates_in(f: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of nodes from rows in forest order."""
-    n = len(f["node"])
+def _shared(f: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many leading values the rows at the places share; -1 in different trees."""
     values = np.stack([f["tree"].astype(np.int64), *[(f["high"] >> s) & 0xFFFF for s in (48, 32, 16, 0)], (f["low"] >> 16) & 0xFFFF, f["low"] & 0xFFFF])
+    return np.cumprod(values[:, i] == values[:, j], axis=0).sum(axis=0) - 1
 
-    def shared(i, j):
-        return np.cumprod(values[:, i] == values[:, j], axis=0).sum(axis=0) - 1
 
-    step = np.concatenate(([-1], shared(np.arange(1, n), np.arange(n - 1)))) if n else np.empty(0, int)
+def candidates_in(f: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of nodes from rows in forest order."""
+    n = len(f["node"])
+    step = np.concatenate(([-1], _shared(f, np.arange(1, n), np.arange(n - 1)))) if n else np.empty(0, int)
     leader = np.arange(n)
     open_ = np.ones(n, bool)
     for depth in range(MIN_DEPTH, DEPTH + 1):
@@ -182,10 +187,14 @@ def _chunk(frame: pd.DataFrame):
     yield ends.reindex(columns=["a", "b", *ROW]).astype("Int64")
 
 
+def _forest(classes: DataFrame, *more: str) -> DataFrame:
+    own = ["node", "n", "b0", "b1", *more]
+    return classes.select(F.posexplode(F.arrays_zip("high", "low")).alias("tree", "v"), *own).select("tree", F.col("v.high").alias("high"), F.col("v.low").alias("low"), *own)
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of representatives that may be similar."""
-    rows = classes.select(F.posexplode(F.arrays_zip("high", "low")).alias("tree", "v"), "node", "n", "b0", "b1").select("tree", F.col("v.high").alias("high"), F.col("v.low").alias("low"), "node", "n", "b0", "b1")
-    ordered = rows.repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
+    ordered = _forest(classes).repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
     found = durable(ordered.mapInPandas(_walk, FOUND))
     # at most 2 * NEIGHBOURS rows for each chunk of the forest
     edges = found.filter("a IS NULL").select(*ROW).repartition(1).sortWithinPartitions("tree", "high", "low", "node")
@@ -203,16 +212,20 @@ def _confirm(batches):
             if is_hub:
                 sets.append(own)
                 continue
+            best = 0.0
+            linked = False
             for other in sets:
                 both = len(np.intersect1d(own, other, assume_unique=True))
-                if both and 100 * both >= SIMILAR * (len(own) + len(other) - both):
-                    out.append((key, doc))
-                    break
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                either = len(own) + len(other) - both
+                linked |= bool(both) and 100 * both >= SIMILAR * either
+                best = max(best, 100 * both / max(1, either))
+            if linked or best >= NEARLY:
+                out.append((key, doc, linked))
+        yield pd.DataFrame(out, columns=["a", "b", "linked"]).astype({"a": "int64", "b": "int64", "linked": "bool"})
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those similar on their full sets. A hub's members are dealt in chunks, each with the hub's text."""
+    """Of pairs (a, b) those similar on their full sets (linked), and those nearly so. A hub's members are dealt in chunks, each with the hub's text."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("_d"))
     degree = sized_broadcast(degree, degree.count())
     members = pairs.join(degree, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / PER_CHUNK)).alias("chunk"), F.col("b").alias("doc"), F.lit(False).alias("is_hub"))
@@ -222,7 +235,44 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     placed = texts.join(sized_broadcast(wanted, wanted.count()), F.col("_id") == F.col("doc"))
     dealt = placed.select("hub", "chunk", "is_hub", "doc", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("is_hub").desc())
-    return dealt.mapInPandas(_confirm, "a long, b long").distinct()
+    return dealt.mapInPandas(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+
+
+def _wide(batches):
+    """Pairs of loose rows with their wider neighbourhood, where both are of different components."""
+    for frame in batches:  # a batch is a stretch of the order; what its ends miss, other trees have
+        f = {c: frame[c].to_numpy() for c in [*ROW, "root", "loose"]}
+        shares = np.concatenate(([False], _shared(f, np.arange(1, len(frame)), np.arange(len(frame) - 1)) >= MIN_DEPTH)) if len(frame) else np.empty(0, bool)
+        pairs = [np.empty((2, 0), np.int64)]
+        near = np.ones(len(frame), bool)
+        for k in range(1, WIDE + 1):
+            near = near[1:] & shares[: len(frame) - k + 1][1:] if k > 1 else shares[1:].copy()
+            i = np.flatnonzero(near) + k
+            i = i[(f["loose"][i] | f["loose"][i - k]) & (f["root"][i] != f["root"][i - k])]
+            a, b, _ = _near(f, i, i - k)
+            pairs.append(np.stack((np.minimum(f["node"][a], f["node"][b]), np.maximum(f["node"][a], f["node"][b]))))
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        yield pd.DataFrame({"a": both[0], "b": both[1]})
+
+
+def _with_roots(df: DataFrame, settled: DataFrame, n: int, *sides: str) -> DataFrame:
+    for side in sides:
+        roots = settled.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}"))
+        df = df.join(sized_broadcast(roots, n), F.col(side) == F.col(f"_n{side}"), "left").withColumn(f"_r{side}", F.coalesce(f"_r{side}", side)).drop(f"_n{side}")
+    return df
+
+
+def second_look(classes: DataFrame, settled: DataFrame, missed: DataFrame) -> DataFrame:
+    """Pairs to try for rows that nearly linked to another component: its members differ a little, and one may be similar.
+
+    Only the components concerned take part, and only rows that nearly linked ask.
+    """
+    loose = durable(missed.select(F.explode(F.array("a", "b")).alias("_loose")).distinct())
+    touched = durable(missed.select(F.explode(F.array("_ra", "_rb")).alias("_touched")).distinct())
+    rows = _with_roots(classes, settled, settled.count(), "node").join(sized_broadcast(touched, touched.count()), F.col("_rnode") == F.col("_touched"), "left_semi")
+    rows = rows.join(sized_broadcast(loose, loose.count()), F.col("node") == F.col("_loose"), "left").withColumn("loose", F.col("_loose").isNotNull()).withColumnRenamed("_rnode", "root")
+    rows = _forest(rows, "root", "loose").repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
+    return rows.mapInPandas(_wide, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,18 +283,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     found = durable(candidates(classes))
     first = durable(found.groupBy("b").agg(F.min("a").alias("a")))
-    linked = durable(confirm(first, docs))
-    settled = components(linked)
-    left = found.join(first, ["a", "b"], "left_anti")
-    n = settled.count()
-    for side in ("a", "b"):
-        roots = settled.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}"))
-        left = left.join(sized_broadcast(roots, n), F.col(side) == F.col(f"_n{side}"), "left").withColumn(f"_r{side}", F.coalesce(f"_r{side}", side))
-    left = durable(left.filter("_ra <> _rb").select("a", "b"))
-    if not left.isEmpty():
-        more = durable(confirm(left, docs))
-        if not more.isEmpty():
-            settled = components(linked.unionByName(more))
+    tried = durable(confirm(first, docs))
+    settled = components(tried.filter("linked"))
+    left = durable(_with_roots(found.join(first, ["a", "b"], "left_anti"), settled, settled.count(), "a", "b").filter("_ra <> _rb").select("a", "b"))
+    for look in (1, 2):
+        if not left.isEmpty():
+            more = durable(confirm(left, docs))
+            tried = tried.unionByName(more)
+            if not more.filter("linked").isEmpty():
+                settled = components(tried.filter("linked"))
+        if look == 1:
+            missed = durable(_with_roots(tried.filter("NOT linked").select("a", "b"), settled, settled.count(), "a", "b").filter("_ra <> _rb"))
+            if missed.isEmpty():
+                break
+            left = durable(second_look(classes, settled, missed).join(found, ["a", "b"], "left_anti"))
     # ids that stand for several classes (unequal texts of one id) are one node already
     roots = settled.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
     by_class = classes.select("same", "node").join(sized_broadcast(roots, settled.count()), F.col("node") == F.col("_n"), "left").select("same", F.coalesce("_root", "node").alias("_component"))
