@@ -28,6 +28,7 @@ QUERIES = {
 ORACLES = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_html_extraction": html_extract.ORACLE,
+    "op8_chat_formatting": chat_format.ORACLE,
     "op9_minhash_near_dedup": minhash_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
