@@ -73,11 +73,9 @@ def with_ipv6(df: DataFrame, text: Column, hex32: str, canon: str) -> DataFrame:
     size = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, ":")))
     df = bind(df, _v6=lower_ascii(text))
     df = bind(df, _tail4=F.regexp_extract("_v6", r"^[0-9a-f:]*:([0-9.]+)\z", 1))
-    df = bind(df, _n4=ipv4_number(F.col("_tail4")))
-    df = bind(
-        df,
-        _v6=F.when(F.contains("_v6", F.lit(".")), F.concat(F.left("_v6", F.length("_v6") - F.length("_tail4")), F.lower(F.hex(F.shiftright("_n4", 16))), F.lit(":"), F.lower(F.hex(F.col("_n4").bitwiseAND(65535))))).otherwise(F.col("_v6")),
-    )
+    n4 = ipv4_number(F.col("_tail4"))
+    low = F.concat(F.lower(F.hex(F.shiftright(n4, 16))), F.lit(":"), F.lower(F.hex(n4.bitwiseAND(65535))))
+    df = bind(df, _v6=F.when(F.contains("_v6", F.lit(".")), F.concat(F.left("_v6", F.length("_v6") - F.length("_tail4")), low)).otherwise(F.col("_v6")))
     df = bind(df, _head=F.substring_index("_v6", "::", 1), _rest=F.when(F.contains("_v6", F.lit("::")), F.expr("substring(_v6, instr(_v6, '::') + 2)")))
     short = F.col("_rest").isNotNull() & F.col("_head").rlike(some) & F.col("_rest").rlike(some) & (size(F.col("_head")) + size(F.col("_rest")) <= 7)
     full = F.col("_rest").isNull() & F.col("_v6").rlike(rf"^(?:{group}:){{7}}{group}\z")
@@ -86,14 +84,14 @@ def with_ipv6(df: DataFrame, text: Column, hex32: str, canon: str) -> DataFrame:
     df = bind(df, _groups=groups)
     df = bind(df, **{hex32: F.array_join(F.transform("_groups", lambda g: F.lpad(g, 4, "0")), "")}, _plain=F.array_join(F.transform("_groups", lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0"))), ":"))
     # the longest run of two zero groups or more, the first of equals
-    df = bind(df, _x=F.concat(F.lit(":"), "_plain", F.lit(":")))
-    longest = F.array_max(F.transform(F.regexp_extract_all("_x", F.lit("(?::0)+(?=:)"), F.lit(0)), lambda r: F.length(r)))
+    x = "concat(':', _plain, ':')"
+    longest = F.array_max(F.transform(F.regexp_extract_all(F.expr(x), F.lit("(?::0)+(?=:)"), F.lit(0)), lambda r: F.length(r)))
     df = bind(df, _run=F.when(longest >= 4, F.concat(F.repeat(F.lit(":0"), (longest / 2).cast("int")), F.lit(":"))))
-    df = bind(df, _at=F.expr("instr(_x, _run)"))
-    compressed = F.when(F.col("_run").isNotNull(), F.expr("concat(substring(_x, 2, _at - 2), '::', substring(_x, _at + length(_run), greatest(0, length(_x) - _at - length(_run))))"))
+    at = f"instr({x}, _run)"
+    compressed = F.when(F.col("_run").isNotNull(), F.expr(f"concat(substring({x}, 2, {at} - 2), '::', substring({x}, {at} + length(_run), greatest(0, length({x}) - {at} - length(_run))))"))
     mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(hex32, 25, 8), 16, 10).cast("bigint")))
     df = bind(df, **{canon: F.when(F.substring(hex32, 1, 24) == "0" * 20 + "ffff", mapped).otherwise(F.coalesce(compressed, "_plain"))})
-    return df.drop("_v6", "_tail4", "_n4", "_head", "_rest", "_groups", "_plain", "_x", "_run", "_at")
+    return df.drop("_v6", "_tail4", "_head", "_rest", "_groups", "_plain", "_run")
 
 
 def valid_hostname(name: Column) -> Column:

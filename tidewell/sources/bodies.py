@@ -90,24 +90,20 @@ def json_elements(df: DataFrame) -> DataFrame:
     return d.select(*KEYS, "rec_ix", F.col("e.text").alias("element"), F.col("e.is_text").alias("is_text"))
 
 
-def _from_tokens(d: DataFrame) -> DataFrame:
-    return parse_entries(d, "token", "default_scheme")
-
-
 def records(bodies: DataFrame) -> DataFrame:
     """Valid records of all bodies, in canonical form, with ``source`` and ``url``; at most the cap of each body."""
     d = effective_kind(bodies.filter(F.trim("body") != ""))
     of = lambda *kinds: d.filter(F.col("kind").isin(*kinds))
+    token_rows = entry_tokens(of("entries")).select(*KEYS, "rec_ix", "token").unionByName(textarea_tokens(of("textarea"), "body").select(*KEYS, F.col("row_ix").alias("rec_ix"), "token"))
+    json_rows = json_elements(of("json")).unionByName(ndjson_elements(of("ndjson")))
     raw = [
-        _from_tokens(entry_tokens(of("entries"))),
-        record_endpoints(json_elements(of("json"))),
-        record_endpoints(ndjson_elements(of("ndjson"))),
+        parse_entries(token_rows, "token", "default_scheme"),
+        record_endpoints(json_rows),
         link_rows(of("link_rows"), "body", "default_scheme").withColumnRenamed("row_ix", "rec_ix"),
         base64_rows(of("base64_rows"), "body", "default_scheme").withColumnRenamed("row_ix", "rec_ix"),
         table_pairs(of("table_pairs"), "body").withColumnRenamed("row_ix", "rec_ix"),
         column_rows(of("web_columns"), "body", "web").withColumnRenamed("row_ix", "rec_ix"),
         column_rows(of("socks_columns"), "body", "socks").withColumnRenamed("row_ix", "rec_ix"),
-        _from_tokens(textarea_tokens(of("textarea"), "body")).withColumnRenamed("row_ix", "rec_ix"),
     ]
     every = raw[0].select(*RECORD)
     for part in raw[1:]:
