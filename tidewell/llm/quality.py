@@ -33,6 +33,7 @@ FOLDS = 5
 ACCEPT = 0.3
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
 SOFTEN = 4.0  # statistics of one text are dependent: log densities count as so many times fewer
+SHORT = 20  # words at which a text's evidence counts half, for few words say little
 FEATURES = 17
 
 _CLASS = np.zeros(256, np.int64)
@@ -100,7 +101,8 @@ class Model:
             return np.full(len(x), self.prior)
         z = (x - self.centre) / self.scale
         density = [-0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) - 0.5 * d for m, f, d in zip(self.means, self.factors, self.logdets, strict=True)]
-        odds = (density[1] - density[0]) / SOFTEN + math.log(self.prior / (1 - self.prior))
+        words = np.expm1(x[:, 0])
+        odds = (density[1] - density[0]) / SOFTEN * words / (words + SHORT) + math.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
