@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scheme import canon
-from tidewell.functions.text import after_last, before_last, bind, trim_ws
+from tidewell.functions.text import WS, after_last, before_last, bind, trim_ws
 
 FIELDS = ["scheme", "host", "port", "user", "pass"]
 
@@ -17,9 +17,8 @@ def bare_token(token):
 
 
 def skipped(token):
-    """blank, or a comment or markup line."""
-    t = bare_token(token)
-    return (t == "") | t.rlike(r"^[#<>%!|]")
+    """blank, or a comment or markup line; one match on the raw token, equal to testing the bare one."""
+    return token.rlike(rf'^{WS}*["`]*(?:[#<>%!|]|{WS}*\z)')
 
 
 def parse_entries(df: DataFrame, token: str, default: str, prefix: str = "") -> DataFrame:
