@@ -61,3 +61,20 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["url"], r["source"], r["seen"]) for r in spark.table("seen").collect()}
     assert got == {("http://1.1.1.1:80", "a", 2), ("http://1.1.1.2:80", "a", 1)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewell.__main__ import arguments, level, main
+
+    d = spark.createDataFrame([("spys", 29, 0, 0, "http", "entries", "1.1.1.1:80"), ("geonode", 20, 0, 0, "http", "entries", "1.1.1.1:80"), ("hproxy", 1, 0, 0, "http", "entries", "1.1.1.2:80")], BODY)
+    d.write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([(p, 1, 1, 0.1, False, []) for p in ("spys", "geonode", "hproxy")], CHAIN).write.parquet(str(tmp_path / "c"))
+    base = ["--bodies", str(tmp_path / "b"), "--chains", str(tmp_path / "c"), "-o", str(tmp_path / "out.txt"), "-q"]
+    assert main([*base, "--providers", "spys,geonode,spys"]) == 0
+    lines = [json.loads(x) for x in (tmp_path / "out.jsonl").read_text().splitlines()]
+    assert [(x["proxy"], x["source"]) for x in lines] == [("http://1.1.1.1:80", "spys")]
+    assert main([*base, "--providers", "spys,nope"]) == 2
+    assert main(["--list-providers"]) == 0 and capsys.readouterr().out.splitlines()[0].startswith("89ip ")
+    assert level(True, True) < level(False, False) < level(False, True)
+    with pytest.raises(SystemExit):
+        arguments([])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.operators.merge import first_wins
 from tidewell.operators.summary import provider_runs, run_outcome, summary_document
 from tidewell.sources.bodies import records
+from tidewell.sources.registry import providers
 from tidewell.sources.sinks import ArtifactPaths, write_artifacts
 
 
@@ -23,8 +24,22 @@ class RunResult:
     paths: ArtifactPaths
 
 
-def harvest(bodies: DataFrame, chains: DataFrame, output: str = "proxies.txt", started_at: int | None = None, task_failures: int = 0) -> RunResult:
+def chosen(bodies: DataFrame, chains: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """the rows of the named sources; their order in the list, first mentions, becomes the precedence."""
+    spark = bodies.sparkSession
+    known = {r["id"] for r in providers(spark).select("id").collect()}
+    unknown = [i for i in dict.fromkeys(ids) if i not in known]
+    if unknown:
+        raise ValueError(f"unknown providers: {', '.join(unknown)}")
+    order = F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(dict.fromkeys(ids))], "provider_id string, _ord int"))
+    own = bodies.join(order, "provider_id").withColumn("ord", F.col("_ord")).drop("_ord")
+    return own.select(*bodies.columns), chains.join(order.select("provider_id"), "provider_id", "left_semi")
+
+
+def harvest(bodies: DataFrame, chains: DataFrame, output: str = "proxies.txt", started_at: int | None = None, task_failures: int = 0, provider_ids: list[str] | None = None) -> RunResult:
     """Bodies and chain statistics to the three files. The merged pool is kept for its two sinks and its count."""
+    if provider_ids is not None:
+        bodies, chains = chosen(bodies, chains, provider_ids)
     began = time.time()
     started_at = int(began) if started_at is None else started_at
     rows = records(bodies)
