@@ -83,6 +83,17 @@ def test_near_large_group_and_chains(spark, monkeypatch, chunk):
     assert near_got(d) == near_brute(rows)
 
 
+@pytest.mark.parametrize("cell", [8192, 300])
+def test_near_common_boilerplate(spark, monkeypatch, cell):
+    """Pages that tie on whole trees by a long common passage; only the few short ones are similar to each other."""
+    monkeypatch.setattr(minhash_dedup, "CELL", cell)
+    core = [f"c{k}" for k in range(200)]
+    short = set(range(11, 1500, 149))
+    rows = [(i, " ".join([*core, *(f"u{i}x{k}" for k in range(32 if i in short else 61))])) for i in range(1500)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 11 if i in short else i for i, _ in rows}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]

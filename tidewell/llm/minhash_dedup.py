@@ -15,9 +15,12 @@ Words (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case) make 5-word shingles; document
   those links settle most of the others, and every candidate that still joins two components is confirmed too.
 * Rows that nearly link to another component look at ``WIDE`` neighbours on either side in every tree, among the
   components concerned, because one of many slightly different members may be similar where others are not.
+* Rows that share all values of a tree with more than ``REGION - 1`` others, not all of one component, are joined exactly: all
+  of them, whatever their trees, by a prefix filter on their shingles (rarest first) with sizes and positions.
 
-A link between unequal texts can only be missed if no tree brings its rows together; the chance is below 1e-4
-at similarity 0.75 for a region of ordinary size, and recall is measured in the tests.
+A link between unequal texts can only be missed if no tree brings its rows together and one of them at least is in no region
+above ``REGION`` at full depth; the chance is below 1e-4 at similarity 0.75 for a region of ordinary size, and recall is
+measured in the tests.
 
 Defined results: null and empty texts have no shingles, are a component each and linked with nothing; with
 fewer than five words the whole sequence is the one shingle; rows of one id are one node; a null id takes its class's
@@ -48,6 +51,9 @@ TIGHT = 0.96  # share of equal bits from which only the next neighbour is needed
 EQUAL_BITS = 0.74  # 0.875 is expected at similarity 0.75; the deviation is 0.034
 CHUNK = 400_000  # rows of the forest held at once
 PER_CHUNK = 64  # members compared with one copy of a hub's text
+LISTED = 500_000  # shingles whose frequency the exact join knows
+CELL = 8192  # rows of one shingle compared in one piece; more are dealt in parts, each pair of which meets
+SLICE = 1 << 20  # pairs of the exact join held at once
 
 _RNG = np.random.default_rng(5_711)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -275,6 +281,123 @@ def second_look(classes: DataFrame, settled: DataFrame, missed: DataFrame) -> Da
     return rows.mapInPandas(_wide, "a long, b long").distinct()
 
 
+def crowded(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """Rows (node, root, n) of the regions above ``REGION`` at full depth that hold several components."""
+    rows = _forest(_with_roots(classes, settled, settled.count(), "node").withColumnRenamed("_rnode", "root"), "root")
+    regions = rows.groupBy("tree", "high", "low").agg(F.count("*").alias("_rows"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    regions = durable(regions.filter((F.col("_rows") > REGION) & (F.col("_low") < F.col("_high"))).select("tree", "high", "low"))
+    return durable(rows.join(sized_broadcast(regions, regions.count()), ["tree", "high", "low"]).select("node", "root", "n").distinct())
+
+
+def _frequencies(batches):
+    for frame in batches:
+        sets = [shingles(t) for t in frame["text"]]
+        token, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        yield pd.DataFrame({"token": token.view(np.int64), "df": n})
+
+
+def _meeting(n: np.ndarray, left: np.ndarray, node: np.ndarray, root: np.ndarray, part: np.ndarray, across: bool):
+    """Pairs of one shingle's rows, in order of size, whose sizes and places allow a link and whose roots differ."""
+    low = np.searchsorted(n, -(-SIMILAR * n // 100))
+    high = np.minimum(np.arange(len(n)), np.searchsorted(n, (100 + SIMILAR) * left // SIMILAR - n, "right"))
+    counts = np.maximum(0, high - low)
+    ends = np.cumsum(counts)
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, "right")))
+        c = counts[first:last]
+        i = np.repeat(np.arange(first, last), c)
+        j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[first:last], c)
+        ok = ((100 + SIMILAR) * left[j] >= SIMILAR * (n[i] + n[j])) & (root[i] != root[j])
+        if across:
+            ok &= part[i] != part[j]
+        i, j = i[ok], j[ok]
+        if len(i):
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        first = last
+
+
+def _meet(batches):
+    """Pairs of rows in order of (token, cell, n)."""
+
+    def pairs(frame):
+        f = {c: frame[c].to_numpy() for c in ("token", "cell", "n", "left", "node", "root", "part", "across")}
+        edges = np.flatnonzero((np.diff(f["token"]) != 0) | (np.diff(f["cell"]) != 0)) + 1
+        held, size = [], 0
+        for a, b in zip([0, *edges], [*edges, len(frame)], strict=True):
+            if b - a > 1:
+                for pair in _meeting(*(f[c][a:b] for c in ("n", "left", "node", "root", "part")), bool(f["across"][a])):
+                    held.append(np.stack(pair))
+                    size += len(pair[0])
+                    if size >= SLICE:
+                        yield np.unique(np.concatenate(held, axis=1), axis=1)
+                        held, size = [], 0
+        if held:
+            yield np.unique(np.concatenate(held, axis=1), axis=1)
+
+    frames, n = [], 0
+    for frame in batches:
+        frames.append(frame)
+        n += len(frame)
+        if n >= 4 * CELL:
+            every = pd.concat(frames, ignore_index=True)
+            last = every[["token", "cell"]].iloc[-1]
+            open_ = ((every["token"] == last["token"]) & (every["cell"] == last["cell"])).to_numpy()
+            for both in pairs(every[~open_]):
+                yield pd.DataFrame({"a": both[0], "b": both[1]})
+            frames = [every[open_]]
+            n = len(frames[0])
+    if n:
+        for both in pairs(pd.concat(frames, ignore_index=True)):
+            yield pd.DataFrame({"a": both[0], "b": both[1]})
+
+
+def exact_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of crowded rows of different components that can be similar: none that links is left out.
+
+    Rows show their rarest shingles, as many as must hold one that both sides of a link have. The order of shingles
+    needs no exact frequencies, only one order for all rows: those seen less than ``floor`` times count as equally rare.
+    """
+    spark = docs.sparkSession
+    n_rows, n_tokens = crowd.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    texts = durable(texts.join(sized_broadcast(crowd.select("node", "root").distinct(), n_rows), F.col("_id") == F.col("node")).select("node", "root", "text").distinct())
+    floor = max(2, -(-n_tokens // LISTED))
+    listed = texts.mapInPandas(_frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toPandas()
+    order = np.argsort(listed["token"].to_numpy(np.int64).view(np.uint64))
+    known = spark.sparkContext.broadcast((listed["token"].to_numpy(np.int64).view(np.uint64)[order], listed["df"].to_numpy(np.int64)[order]))
+
+    def show(batches):
+        tokens, dfs = known.value
+        for frame in batches:
+            out = []
+            for node, root, text in zip(frame["node"], frame["root"], frame["text"], strict=True):
+                s = shingles(text)
+                if not len(s) or not len(tokens):
+                    continue
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                df = np.where(tokens[at] == s, dfs[at], 0)
+                by = np.lexsort((s, df))[: len(s) + SIMILAR * len(s) // -100 + 1]
+                left = len(s) - np.arange(len(by))
+                token, df = s[by], df[by]
+                if floor == 2:  # the others are in one row alone
+                    some = df > 0
+                    token, df, left = token[some], df[some], left[some]
+                parts = -(-df // CELL)
+                one = parts <= 1
+                token = token.view(np.int64)
+                out.append(pd.DataFrame({"token": token[one], "cell": 0, "part": 0, "across": False, "left": left[one], "n": len(s), "node": node, "root": root}))
+                for t, k, rest in zip(token[~one], parts[~one], left[~one], strict=True):
+                    own = int(_mixed(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(k))
+                    other = np.arange(k)
+                    out.append(pd.DataFrame({"token": t, "cell": np.minimum(own, other) * k + np.maximum(own, other), "part": own, "across": other != own, "left": rest, "n": len(s), "node": node, "root": root}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    shown = texts.mapInPandas(show, "token long, cell long, part long, across boolean, left long, n long, node long, root long")
+    return shown.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInPandas(_meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketched = durable(sketches(docs))
@@ -297,6 +420,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if missed.isEmpty():
                 break
             left = durable(second_look(classes, settled, missed).join(found, ["a", "b"], "left_anti"))
+    crowd = crowded(classes, settled)
+    if not crowd.isEmpty():
+        more = durable(confirm(durable(exact_pairs(crowd, docs).join(found, ["a", "b"], "left_anti")), docs).filter("linked"))
+        if not more.isEmpty():
+            settled = components(tried.filter("linked").unionByName(more))
     # ids that stand for several classes (unequal texts of one id) are one node already
     roots = settled.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
     by_class = classes.select("same", "node").join(sized_broadcast(roots, settled.count()), F.col("node") == F.col("_n"), "left").select("same", F.coalesce("_root", "node").alias("_component"))
