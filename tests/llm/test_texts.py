@@ -209,6 +209,26 @@ def test_mixing(spark, odd_docs, no_docs, which):
         assert key(got) == key(again)
 
 
+def test_mixed_blocks(spark, odd_docs):
+    """The mixed corpus holds the words of the documents, in blocks, as often as they are counted."""
+    got = mixing.mixed(odd_docs).collect()
+    rows = [(r["source"], r["text"]) for r in odd_docs.collect()]
+    words = defaultdict(Counter)
+    for s, t in rows:
+        words[s].update(SPACED.findall(t or ""))
+    assert got and len({(r["source"], r["slot"]) for r in got}) == len(got)
+    blocks = {}
+    for r in got:
+        w = SPACED.findall(r["text"])
+        assert len(w) == sum(p["words"] for p in r["parts"]) <= mixing.BLOCK
+        assert blocks.setdefault((r["source"], r["block"]), w) == w
+    for s in words:
+        seen = Counter(x for (o, _), w in blocks.items() if o == s for x in w)
+        n = -(-sum(words[s].values()) // mixing.BLOCK)
+        assert seen == words[s] if sum(o == s for o, _ in blocks) == n else seen <= words[s]
+    assert sum(len(SPACED.findall(r["text"])) for r in got) == sum(r["taken"] for r in mixing.mix(odd_docs).collect())
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         for key in (1, 2**32 - 1):

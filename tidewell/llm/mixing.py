@@ -4,12 +4,13 @@ Each source's documents lie end to end on a line of words, cut into blocks of ``
 target is its weight's share of all words, held to ``MOST`` times its size (water-filling). The target
 makes a number of slots; the number of a source's slots in each output shard is a multinomial draw, and
 slot ``j`` takes block ``permutation(j mod blocks)`` of the source's pseudorandom permutation for pass
-``j div blocks`` (a keyed Feistel network, cycle-walked). Blocks then join the documents by block index.
+``j div blocks`` (a keyed Feistel network, cycle-walked). The drawn slots then join the blocks' words by block index:
+``mixed`` gives the mixed corpus, one row a slot, and ``mix`` writes it into the shared folder and counts ``taken`` in what was written.
 The multinomial is drawn source by source over the shards, so each source's total meets its target and
 only a source's spread over the shards is random; no task or driver holds the whole matrix.
 
 Offsets come from two levels of prefix sums (bucket of documents, then document), so that a source with
-a third of all rows never sits in one task. Only ids and sizes are shuffled, never texts. Reruns agree: draws and
+a third of all rows never sits in one task. Texts are shuffled with their rows' offsets, as pieces of blocks, and as blocks. Reruns agree: draws and
 permutations are keyed by ``SEED`` and the source's name alone.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source of its
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, shuffle_partitions, table
+from tidewell.llm.common import durable, shuffle_partitions, sized_broadcast, small_batches, stored, table
 
 BLOCK = 64  # words
 MOST = 3  # times a source's size
@@ -63,7 +64,7 @@ def _key(source: str, epoch: int) -> int:
 def sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    return docs.select("doc_id", F.col("source").alias("source"), source.alias("_s"), size.alias("size"), F.monotonically_increasing_id().alias("_row"))
+    return docs.select("doc_id", F.col("source").alias("source"), source.alias("_s"), size.alias("size"), F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -122,17 +123,45 @@ def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["_s", "bucket"]).withColumn("offset", F.col("base") + F.col("inner"))
 
 
+def _pieces(batches):
+    """Each document's words, cut at the borders of its source's blocks."""
+    for frame in batches:
+        out = []
+        for row, source, offset, text in zip(frame["_row"], frame["_s"], frame["offset"], frame["text"], strict=True):
+            words = text.encode("utf-8", "surrogatepass").split()
+            first = 0
+            while first < len(words):
+                block, at = divmod(offset + first, BLOCK)
+                own = words[first : first + BLOCK - at]
+                out.append((source, block, at, row, len(own), b" ".join(own).decode("utf-8", "surrogatepass")))
+                first += len(own)
+        yield pd.DataFrame(out, columns=["_s", "block", "at", "row", "words", "text"])
+
+
+def _mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    small_batches(rows.sparkSession)
+    pieces = rows.filter("size > 0").select("_row", "_s", "offset", "text").mapInPandas(_pieces, "_s string, block long, at long, row long, words long, text string")
+    blocks = pieces.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "row", "words", "text"))).alias("_p"))
+    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.transform("_p", lambda p: F.struct(p["row"].alias("row"), p["words"].alias("words"))).alias("parts"))
+    source = F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("source")
+    return draw(plan).join(blocks, ["_s", "block"]).select("shard", source, "slot", "block", "text", "parts")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mixed corpus, one row a slot: shard, source, slot (within the source), block, text, and parts (row number and words of each document in it)."""
+    sizes = durable(sized(docs))
+    plan = durable(targets(sizes))
+    return _mixed(placed(sizes, plan), plan)
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken. The mixed corpus is left in the shared folder."""
     sizes = durable(sized(docs))
     plan = durable(targets(sizes))
-    used = draw(plan).groupBy("_s", "block").agg(F.count("*").alias("uses"))
-    offset, size = F.col("offset"), F.col("size")
-    blocks = F.when(size > 0, F.sequence(F.floor(offset / BLOCK), F.floor((offset + size - 1) / BLOCK)))
-    pieces = placed(sizes, plan).select("_row", "doc_id", "size", "source_size", "target", "offset", "_s", F.explode_outer(blocks).alias("block"))
-    words = F.least(offset + size, (F.col("block") + 1) * BLOCK) - F.greatest(offset, F.col("block") * BLOCK)
-    taken = pieces.join(used, ["_s", "block"], "left").groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(words * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    out = stored(_mixed(placed(sizes, plan), plan))
+    taken = out.select(F.explode("parts").alias("p")).groupBy(F.col("p.row").alias("_row")).agg(F.sum("p.words").alias("taken"))
+    figures = sizes.select("_row", "_s", "doc_id", "size").join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s")
+    return figures.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op6_source_mixing(spark, sf_dir):
