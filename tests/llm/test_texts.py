@@ -169,6 +169,19 @@ def test_decontamination_odd(spark, odd_docs, no_docs, monkeypatch, block):
     assert left[12]["text"] == "one " and left[3]["text"] is None and 4 in left
 
 
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch):
+    """Items of different blocks whose windows overlap in a document."""
+    w = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(w[4 * k : 4 * k + 12])) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["a", *w[2:30], "b"])), (2, "kept"), (None, None)], "doc_id long, text string")
+    got = []
+    for block in (1 << 24, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got.append(sorted(str(tuple(r)) for r in decontaminate.remove_benchmark(docs, bench).collect()))
+    assert got[0] == got[1] == sorted(map(str, [(1, " " + " ".join(w[32:])), (2, "a  b"), (2, "kept"), (None, None)]))
+
+
 # ---------------------------------------------------------------- mixing
 
 

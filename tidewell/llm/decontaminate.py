@@ -133,15 +133,20 @@ def shards(windows: Windows, batches):
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans (merged, of word numbers, end exclusive) and items (sorted as strings)."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_words, spans (of word numbers, end exclusive) and items (sorted as strings)."""
     blocks = blocks_of(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(0) if len(blocks) == 1 else F.monotonically_increasing_id()).cast("long").alias("row"))
     if len(blocks) > 1:
         rows = durable(rows)
+    return _hits(rows, blocks).drop("row")
+
+
+def _hits(rows: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """The hits of all blocks in rows of (doc_id, text, row), each on the whole text."""
+    small_batches(rows.sparkSession)
     parts = []
     for block in blocks:
-        windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
+        windows = rows.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
 
         def search(batches, windows=windows):
             for frame, spans, items, counts in shards(windows.value, batches):
@@ -158,13 +163,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         parts.append(rows.mapInPandas(search, "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
     if len(parts) == 1:
-        return parts[0].drop("row")
+        return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     words = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1))))
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(words).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", F.transform("hit", lambda w: F.struct(w.alias("start"), (w + 1).alias("end"))).alias("spans"), "items")
+    return merged.select("doc_id", "row", "n_words", F.transform("hit", lambda w: F.struct(w.alias("start"), (w + 1).alias("end"))).alias("spans"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -190,26 +195,54 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, without the benchmark's spans; those left without a word go.
 
-    ``n_chars``, where there is one, follows the text. Each block of the benchmark is one pass.
+    ``n_chars``, where there is one, follows the text. The spans of all blocks of the benchmark are found on the whole text
+    and cut at once, so the result does not depend on the number of blocks.
     """
     small_batches(docs.sparkSession)
-    for block in blocks_of(benchmark):
-        windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
+    blocks = blocks_of(benchmark)
+    if len(blocks) == 1:
+        windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in blocks[0].collect()]))
 
-        def clean(batches, windows=windows):
+        def clean(batches):
             for frame, spans, _, counts in shards(windows.value, batches):
-                gone = []
-                for i, found in spans.items():
-                    if sum(b - a for a, b in found) == counts[i]:
-                        gone.append(i)
-                    text = cut(frame.at[i, "text"], found)
-                    frame.at[i, "text"] = text
-                    if "n_chars" in frame:
-                        frame.at[i, "n_chars"] = len(text)
-                yield frame.drop(index=gone)
-
-        docs = docs.mapInPandas(clean, docs.schema)
-    return docs
+                yield _without(frame, spans, counts)
+
+        return docs.mapInPandas(clean, docs.schema)
+    row, hit, words = "_hit_row", "_hit_spans", "_hit_words"
+    while {row, hit, words} & set(docs.columns):
+        row, hit, words = f"{row}_", f"{hit}_", f"{words}_"
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = _hits(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), blocks)
+    found = found.filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(hit), F.col("n_words").alias(words))
+
+    def clean_marked(batches):
+        for frame in batches:
+            spans = {}
+            for i, marked in enumerate(frame[hit]):
+                if marked is None:
+                    continue
+                for s in sorted(marked, key=lambda s: s["start"]):
+                    own = spans.setdefault(i, [])
+                    if own and s["start"] <= own[-1][1]:
+                        own[-1] = (own[-1][0], max(own[-1][1], s["end"]))
+                    else:
+                        own.append((s["start"], s["end"]))
+            counts = frame[words].tolist()
+            yield _without(frame.drop(columns=[row, hit, words]), spans, counts)
+
+    return numbered.join(found, row, "left").mapInPandas(clean_marked, docs.schema)
+
+
+def _without(frame: pd.DataFrame, spans: dict[int, list[tuple[int, int]]], counts: list) -> pd.DataFrame:
+    gone = []
+    for i, found in spans.items():
+        if sum(b - a for a, b in found) == counts[i]:
+            gone.append(i)
+        text = cut(frame.at[i, "text"], found)
+        frame.at[i, "text"] = text
+        if "n_chars" in frame:
+            frame.at[i, "n_chars"] = len(text)
+    return frame.drop(index=gone)
 
 
 def op4_benchmark_decontamination(spark, sf_dir):
