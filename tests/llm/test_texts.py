@@ -355,6 +355,13 @@ def test_html(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_heading_outside_the_body(tag):
+    head, body = "h" * 50, ["p" * 500] * 20
+    page = f"<nav>menu</nav><{tag}><h1>{head}</h1><section><p>standfirst</p></section><div class=body>" + "".join(f"<p>{p}</p>" for p in body) + f"<p>so <math><mi>x</mi></math></p></div></{tag}><footer>foot</footer>"
+    assert html_extract.main_text(page) == " ".join([head, "standfirst", *body, "so x"])
+
+
 def test_html_query(spark):
     d = spark.createDataFrame([(i, None if i == 2 else f"u{i}", h, "x") for i, (h, _) in enumerate(PAGES)] + [(None, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_extract.extract_main_text(d).collect()}

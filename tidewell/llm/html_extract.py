@@ -3,7 +3,7 @@
 The standard library's parser streams events; a line is the text between two block boundaries. Each line has
 the ratio of its text to its tags. The ratios are smoothed with a Gaussian over the page, a two-means threshold splits
 the lines into content and rest, and the content lines choose the region: the smallest container that holds
-them. Parts that are never article (menus, headers, footers, asides, forms, scripts, styles, and containers named
+them, or the nearest article or main element around it if there is one. Parts that are never article (menus, headers, footers, asides, forms, scripts, styles, and containers named
 as adverts, notices, comments and the like) are left out of lines and region. All other lines inside the region
 are kept, short ones too, so that nothing of the article is dropped.
 
@@ -30,7 +30,7 @@ SIGMA = 1.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = frozenset("article body div html main section table tbody td tr".split())
-NEVER = frozenset("aside audio button canvas dialog embed footer form head header iframe input math menu nav noscript object script select style svg template textarea title video".split())
+NEVER = frozenset("aside audio button canvas dialog embed footer form head header iframe input menu nav noscript object script select style svg template textarea title video".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 # Words in a class or id that name what is not the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
@@ -44,6 +44,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # tag, left out, number of the container
         self.path: list[int] = [0]
         self.containers = 0
+        self.articles: set[int] = set()  # numbers of article and main elements
         self.out = 0  # open elements that are left out
         self.parts: list[str] = []
         self.tags = 0
@@ -75,6 +76,8 @@ class Lines(HTMLParser):
             self.containers += 1
             number = self.containers
             self.path.append(number)
+            if tag in ("article", "main"):
+                self.articles.add(number)
         self.out += never
         self.stack.append((tag, never, number))
 
@@ -160,6 +163,9 @@ def main_text(html: str | None) -> str:
         while same < min(len(region), len(path)) and region[same] == path[same]:
             same += 1
         region = region[:same]
+    around = [k for k, number in enumerate(region) if number in parser.articles]
+    if around:
+        region = region[: around[-1] + 1]
     return " ".join(text for text, _, path in lines if path[: len(region)] == region)
 
 
