@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import heat_threshold, shuffle_partitions, sized_broadcast, small_batches, table
+from tidewell.llm.common import heat_threshold, shuffle_partitions, sized_broadcast, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The usual pattern of this vocabulary, and the template's marks.
@@ -166,7 +166,6 @@ def _format(ordered: DataFrame, tokenizer: str) -> DataFrame:
 def chat_digests(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     spark = conversations.sparkSession
-    small_batches(spark)
     turns = turns_of(conversations)
     hot_from = heat_threshold(turns.count(), shuffle_partitions(spark))
     heat = turns.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_from).select("key")

@@ -45,13 +45,22 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table with texts as Parquet into the shared folder and read it again."""
+    """Write a table with texts as Parquet into the shared folder and read it again; ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` gave; a table from elsewhere is left alone."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("stage-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,11 +70,15 @@ def heat_threshold(rows: int, partitions: int, floor: int = 256) -> int:
     return max(floor, math.ceil(rows / (8 * max(1, partitions))))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold Arrow batches to so many rows, for texts may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: bytes.translate table: A-Z to lower case, every byte outside a word to a space.

@@ -10,7 +10,7 @@ Words (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case) make 5-word shingles; document
   with the smallest id of its region, the rows sharing so many leading values that at most ``REGION`` do
   (or all values). Rows at the ends of chunks are compared in a second, small pass. The number of candidates
   is linear in the rows, whatever the size of a group.
-* Candidates whose 1-bit sketches or sizes exclude the similarity (by over four standard deviations, or
+* Candidates whose 1-bit sketches or sizes exclude the similarity (by over five standard deviations, or
   strictly) go no further. Each row's smallest candidate is confirmed first; the components of
   those links settle most of the others, and every candidate that still joins two components is confirmed too.
 * Rows that nearly link to another component look at ``WIDE`` neighbours on either side in every tree, among the
@@ -30,14 +30,16 @@ component and is not kept; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, sized_broadcast, small_batches, table
+from tidewell.llm.common import durable, fresh, heat_threshold, shuffle_partitions, sized_broadcast, table
 from tidewell.llm.components import components
 
 WORDS = 5
@@ -48,7 +50,7 @@ REGION = 64
 NEARLY = 70  # hundredths of similarity from which a row that missed a component is looked at again
 WIDE = 12  # neighbours on either side, then
 TIGHT = 0.96  # share of equal bits from which only the next neighbour is needed beside the region's smallest id
-EQUAL_BITS = 0.74  # 0.875 is expected at similarity 0.75; the deviation is 0.034
+EQUAL_BITS = 0.70  # 0.875 is expected at similarity 0.75; the deviation is 0.034
 CHUNK = 400_000  # rows of the forest held at once
 PER_CHUNK = 64  # members compared with one copy of a hub's text
 LISTED = 500_000  # shingles whose frequency the exact join knows
@@ -90,13 +92,17 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
+SKETCH = "doc_id long, n long, same binary, high array<long>, low array<long>, b0 long, b1 long"
+
+
 def _sketches(batches):
-    for frame in batches:
+    """Arrow in and out: a null beside a value never turns a column of 64-bit numbers into floats."""
+    for batch in batches:
         rows = []
-        for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for text in batch.column("text").to_pylist():
             s = shingles(text)
             if not len(s):
-                rows.append((doc, 0, None, None, None, None, None))
+                rows.append((0, None, None, None, None, None))
                 continue
             v = _signature(s)
             v16 = (v >> np.uint64(48)).reshape(TREES, DEPTH)
@@ -104,16 +110,15 @@ def _sketches(batches):
             low = (v16[:, 4] << np.uint64(16)) | v16[:, 5]
             bits = np.packbits((v & np.uint64(1)).astype(np.uint8))
             b = np.frombuffer(bits.tobytes().ljust(16, b"\0"), np.int64)
-            rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), high.view(np.int64), low.astype(np.int64), b[0], b[1]))
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "same", "high", "low", "b0", "b1"])
-        for c in ("doc_id", "n", "b0", "b1"):
-            out[c] = out[c].astype("Int64")
-        yield out
+            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), high.view(np.int64), low.astype(np.int64), int(b[0]), int(b[1])))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "same", "high", "low", "b0", "b1"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_sketches, "doc_id long, n long, same binary, high array<long>, low array<long>, b0 long, b1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketches, SKETCH)
 
 
 ROW = ["tree", "high", "low", "node", "n", "b0", "b1"]
@@ -200,11 +205,17 @@ def _forest(classes: DataFrame, *more: str) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of representatives that may be similar."""
-    ordered = _forest(classes).repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
-    found = durable(ordered.mapInPandas(_walk, FOUND))
-    # at most 2 * NEIGHBOURS rows for each chunk of the forest
-    edges = found.filter("a IS NULL").select(*ROW).repartition(1).sortWithinPartitions("tree", "high", "low", "node")
-    return found.select("a", "b").unionByName(edges.mapInPandas(_walk, FOUND).select("a", "b")).filter("a IS NOT NULL").distinct()
+    rows, pairs = _forest(classes), []
+    while True:
+        ordered = rows.repartitionByRange("tree", "high", "low", "node").sortWithinPartitions("tree", "high", "low", "node")
+        found = durable(ordered.mapInPandas(_walk, FOUND))
+        pairs.append(found.select("a", "b").filter("a IS NOT NULL"))
+        rows = found.filter("a IS NULL").select(*ROW)  # at most 2 * NEIGHBOURS for each chunk
+        if rows.count() <= CHUNK:
+            break
+    last = rows.repartition(1).sortWithinPartitions("tree", "high", "low", "node").mapInPandas(_walk, FOUND)
+    pairs.append(last.select("a", "b").filter("a IS NOT NULL"))
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def _confirm(batches):
@@ -245,13 +256,19 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _wide(batches):
-    """Pairs of loose rows with their wider neighbourhood, where both are of different components."""
-    for frame in batches:  # a batch is a stretch of the order; what its ends miss, other trees have
+    """Pairs of loose rows with their wider neighbourhood, where both are of different components.
+
+    The last rows of a batch are looked at again with the next, so that the size of batches changes nothing.
+    """
+    held = None
+    for batch in batches:
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        held = frame.iloc[max(0, len(frame) - WIDE) :]
         f = {c: frame[c].to_numpy() for c in [*ROW, "root", "loose"]}
         shares = np.concatenate(([False], _shared(f, np.arange(1, len(frame)), np.arange(len(frame) - 1)) >= MIN_DEPTH)) if len(frame) else np.empty(0, bool)
         pairs = [np.empty((2, 0), np.int64)]
         near = np.ones(len(frame), bool)
-        for k in range(1, WIDE + 1):
+        for k in range(1, min(WIDE, len(frame) - 1) + 1):
             near = near[1:] & shares[: len(frame) - k + 1][1:] if k > 1 else shares[1:].copy()
             i = np.flatnonzero(near) + k
             i = i[(f["loose"][i] | f["loose"][i - k]) & (f["root"][i] != f["root"][i - k])]
@@ -402,7 +419,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketched = durable(sketches(docs))
     classes = durable(
-        sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("high").alias("high"), F.first("low").alias("low"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+        sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("high").alias("high"), F.first("low").alias("low"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     )
     found = durable(candidates(classes))
     first = durable(found.groupBy("b").agg(F.min("a").alias("a")))
@@ -427,15 +444,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             settled = components(tried.filter("linked").unionByName(more))
     # ids that stand for several classes (unequal texts of one id) are one node already
     roots = settled.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
-    by_class = classes.select("same", "node").join(sized_broadcast(roots, settled.count()), F.col("node") == F.col("_n"), "left").select("same", F.coalesce("_root", "node").alias("_component"))
+    by_class = durable(classes.join(sized_broadcast(roots, settled.count()), F.col("node") == F.col("_n"), "left").select("same", "members", F.coalesce("_root", "node").alias("_component")))
     own = sketched.select("doc_id", F.col("n").alias("n_shingles"), "same")
-    return own.join(by_class, "same", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.lit(False)).alias("kept"))
+    # rows without shingles or id need no class; classes of many copies, at most eight a partition, are broadcast, so that no task gets one's rows
+    hot_from = heat_threshold(by_class.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0], shuffle_partitions(docs.sparkSession))
+    hot = by_class.filter(F.col("members") >= hot_from).select("same", F.col("_component").alias("_hot"))
+    placed = own.filter("same IS NOT NULL").join(F.broadcast(hot), "same", "left")
+    cold = placed.filter("_hot IS NULL").drop("_hot").join(by_class.filter(F.col("members") < hot_from).select("same", "_component"), "same", "left")
+    every = placed.filter("_hot IS NOT NULL").select(*own.columns, F.col("_hot").alias("_component")).unionByName(cold.select(*own.columns, "_component"))
+    every = every.unionByName(own.filter("same IS NULL").withColumn("_component", F.lit(None).cast("long")))
+    return every.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are their component's smallest id, with all their columns; rows without an id stay."""
-    gone = durable(near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = fresh(docs.columns, "_gone")
+    gone = durable(near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone_id)).distinct())
+    return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
 
 
 def op9_minhash_near_dedup(spark, sf_dir):
