@@ -9,7 +9,7 @@ determinants) plus the log prior odds.
 Labels are learned from at most ``FIT_ROWS`` labelled rows, those of the smallest id hashes, and only from rows
 whose crc32 of the id is not divisible by 5; label, language, source and id are never inputs of a score.
 
-Defined results: null and empty texts are scored like any other, from their statistics; with labels of fewer than two
+Defined results: null and empty texts have no evidence and score the prior; with labels of fewer than two
 classes every score is the share of label 1 (0.5 without labels); repeated rows give equal rows; a null id is held
 out of nothing (its remainder is null, so ``held_out`` is false); an empty table gives an empty result; other
 columns are ignored.
@@ -22,18 +22,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import small_batches, table
+from tidewell.llm.common import table
 
 FIT_ROWS = 20_000
 FOLDS = 5
 ACCEPT = 0.3
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
 SOFTEN = 4.0  # statistics of one text are dependent: log densities count as so many times fewer
-SHORT = 20  # words at which a text's evidence counts half, for few words say little
+SHORT = 120  # bytes, without white space, at which a text's evidence counts half, for a short text says little
 FEATURES = 17
 
 _CLASS = np.zeros(256, np.int64)
@@ -101,8 +101,8 @@ class Model:
             return np.full(len(x), self.prior)
         z = (x - self.centre) / self.scale
         density = [-0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) - 0.5 * d for m, f, d in zip(self.means, self.factors, self.logdets, strict=True)]
-        words = np.expm1(x[:, 0])
-        odds = (density[1] - density[0]) / SOFTEN * words / (words + SHORT) + math.log(self.prior / (1 - self.prior))
+        length = np.expm1(x[:, 0]) * np.expm1(x[:, 1])  # words times their mean bytes
+        odds = (density[1] - density[0]) / SOFTEN * length / (length + SHORT) + math.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
@@ -131,16 +131,16 @@ def _remainder():
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
-    small_batches(docs.sparkSession)
     sample = labels.filter(F.col("quality").isin(0, 1) & (_remainder() != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
 
     def run(batches):
-        for frame in batches:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "x": [statistics(t) for t in frame["text"]]})
+        for batch in batches:
+            x = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), x], names=["doc_id", "quality", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"))
-    rows = joined.mapInPandas(run, "doc_id long, quality int, x array<double>").collect()  # at most FIT_ROWS ids
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # repeated ids are rows of their own: the bound is on rows
+    rows = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).collect()
     return fit(np.array([r["x"] for r in rows], float).reshape(-1, FEATURES), np.array([r["quality"] for r in rows], int))
 
 
@@ -149,11 +149,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
-        for frame in batches:
-            x = np.array([statistics(t) for t in frame["text"]], float).reshape(-1, FEATURES)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": model.value.score(x)})
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(x))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
@@ -161,12 +161,12 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    def run(batches):
-        for frame in batches:
-            x = np.array([statistics(t) for t in frame["text"]], float).reshape(-1, FEATURES)
-            yield frame[model.value.score(x) >= ACCEPT]
+    def run(batches):  # the columns pass as they are, whatever their types
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(model.value.score(x) >= ACCEPT))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality_classifier(spark, sf_dir):
