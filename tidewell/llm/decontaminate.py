@@ -1,8 +1,9 @@
 """Benchmark decontamination: an FM-index for each training shard.
 
-The benchmark's windows (10 consecutive words; an item of fewer words is one window) are the query set; it
-is collected in blocks of at most ``BLOCK_BYTES`` of text, so what is sent to the executors has a bound
-at any size of benchmark, and each block goes over all documents. A task cuts its documents into shards of at most
+The benchmark's windows (10 consecutive words; an item of fewer words is one window) are the query set. Items
+are cut into pieces of at most ``PIECE`` windows and dealt by hash to blocks of ``BLOCK_BYTES`` of text on average, each
+collected and sent as arrays of word numbers, so what the driver and the executors hold of the
+benchmark has a bound at any size of it; each block goes over all documents. A task cuts its documents into shards of at most
 ``SHARD_WORDS`` indexed words or ``SHARD_BYTES`` of text. Words that no window has end a run; runs shorter than the
 shortest window cannot hold one and are left out of the index, which loses nothing. Backward search through
 the wavelet ranks finds each window's row range, sampled suffix positions give the occurrences, and
@@ -21,42 +22,66 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_BYTES, durable, small_batches, table, words_of
+from tidewell.llm.common import WORD_BYTES, durable, fresh, table, words_of
 from tidewell.llm.fm_index import FMIndex
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+PIECE = 4096  # windows of an item that are dealt together
+PATTERNS = 1 << 16  # windows searched at once
 SHARD_WORDS = 1 << 20
 SHARD_BYTES = 32 << 20
 
 
 class Windows:
-    """The distinct windows of a block of items, by length, over a vocabulary of the block's words."""
+    """The distinct windows of a block, by length, over a vocabulary of the block's words.
 
-    def __init__(self, items: list[tuple]):
+    Rows are (item, piece of its words). ``ids`` has the words of all pieces end to end; a window is its place there, its
+    items are a stretch of ``owners``.
+    """
+
+    def __init__(self, rows: list[tuple]):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[set[str]] = []
-        number: dict[tuple, int] = {}
-        for item, text in items:
+        self.names: list[str] = []
+        number: dict[str, int] = {}
+        pieces, by_size, at = [], defaultdict(list), 0
+        for item, text in rows:
             # symbol 1 separates runs
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)), np.int32)
             size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                k = number.setdefault(tuple(ids[i : i + size]), len(self.items))
-                if k == len(self.items):
-                    self.items.append(set())
-                if item is not None:
-                    self.items[k].add(str(item))
-        by_size = defaultdict(list)
-        for window, k in number.items():
-            by_size[len(window)].append((k, window))
-        self.by_size = {size: (np.array([k for k, _ in ws]), np.array([w for _, w in ws], np.int64)) for size, ws in by_size.items()}
+            if not size:
+                continue
+            owner = -1 if item is None else number.setdefault(str(item), len(number))
+            starts = np.arange(at, at + len(ids) - size + 1)
+            by_size[size].append((starts, np.full(len(starts), owner)))
+            pieces.append(ids)
+            at += len(ids)
+        self.names = list(number)
+        self.ids = np.concatenate([*pieces, np.empty(0, np.int32)])
+        self.by_size = {}
+        for size, found in by_size.items():
+            starts, owners = (np.concatenate(x) for x in zip(*found, strict=True))
+            same = self._rows(starts, size).view(f"V{4 * size}").ravel()
+            _, first, which = np.unique(same, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack((which, owners)), axis=1)
+            pairs = pairs[:, pairs[1] >= 0]
+            self.by_size[size] = starts[first], np.searchsorted(pairs[0], np.arange(len(first) + 1)), pairs[1]
         self.shortest = min(self.by_size, default=0)
 
+    def _rows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return np.ascontiguousarray(self.ids[starts[:, None] + np.arange(size)])
+
+    def patterns(self):
+        """(size, words, bounds of the owners, owners) of the windows, a bounded number at a time."""
+        for size, (starts, bounds, owners) in self.by_size.items():
+            for i in range(0, len(starts), PATTERNS):
+                some = starts[i : i + PATTERNS]
+                yield size, self._rows(some, size).astype(np.int64), bounds[i : i + len(some) + 1], owners
+
 
 class Shard:
     """Runs of benchmark words from some documents, indexed and searched together."""
@@ -80,15 +105,15 @@ class Shard:
             self.offsets.append(a)
             self.size += b - a + 1
 
-    def hits(self) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-        """Merged spans of word numbers, and item ids, by document."""
+    def hits(self) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+        """Merged spans of word numbers, and numbers of items, by document."""
         spans, items = defaultdict(list), defaultdict(set)
         if not self.size:
             return spans, items
         index = FMIndex(np.concatenate(self.pieces))
         starts, docs, offsets = np.array(self.starts), np.array(self.docs), np.array(self.offsets)
         covered = np.zeros(self.size + 1, np.int64)
-        for size, (numbers, patterns) in self.windows.by_size.items():
+        for size, patterns, bounds, owners in self.windows.patterns():
             found, low, high = index.search(patterns)
             if not len(found):
                 continue
@@ -97,9 +122,9 @@ class Shard:
             at = index.locate(rows)
             np.add.at(covered, at, 1)
             np.add.at(covered, at + size, -1)
-            pairs = np.unique(np.stack((docs[np.searchsorted(starts, at, "right") - 1], np.repeat(numbers[found], counts))), axis=1)
+            pairs = np.unique(np.stack((docs[np.searchsorted(starts, at, "right") - 1], np.repeat(found, counts))), axis=1)
             for doc, k in pairs.T.tolist():
-                items[doc] |= self.windows.items[k]
+                items[doc].update(owners[bounds[k] : bounds[k + 1]].tolist())
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(covered[:-1]) > 0).view(np.int8), [0]))))
         run = np.searchsorted(starts, edges[::2], "right") - 1
         shift = offsets[run] - starts[run]
@@ -108,28 +133,42 @@ class Shard:
         return spans, items
 
 
+def _pieces(batches):
+    """Items in pieces of at most PIECE windows, which overlap by what a window needs."""
+    for batch in batches:
+        out = []
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words_of(text)
+            for i in range(0, max(1, len(words) - WINDOW + 1), PIECE):
+                out.append((item, i, b" ".join(words[i : i + PIECE + WINDOW - 1]).decode("utf-8", "surrogatepass")))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["item_id", "piece", "text"])
+
+
 def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / BLOCK_BYTES))
-    return [benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    pieces = items.mapInArrow(_pieces, "item_id string, piece long, text string")
+    return [pieces.filter(F.pmod(F.xxhash64("item_id", "piece", "text"), F.lit(n)) == k).select("item_id", "text") for k in range(n)]
 
 
 def shards(windows: Windows, batches):
-    """(frame, spans, items, word counts) of each shard in turn."""
+    """(batches, spans, items, word counts) of each shard in turn."""
     kept, shard, counts, size, rows = [], Shard(windows), [], 0, 0
-    for frame in batches:
-        for text in frame["text"]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
             words = words_of(text)
             shard.add(rows, words)
             counts.append(len(words))
             size += len(text) if text else 0
             rows += 1
-        kept.append(frame)
+        kept.append(batch)
         if shard.size >= SHARD_WORDS or size >= SHARD_BYTES:
-            yield pd.concat(kept, ignore_index=True), *shard.hits(), counts
+            yield pa.Table.from_batches(kept), *shard.hits(), counts
             kept, shard, counts, size, rows = [], Shard(windows), [], 0, 0
     if rows:
-        yield pd.concat(kept, ignore_index=True), *shard.hits(), counts
+        yield pa.Table.from_batches(kept), *shard.hits(), counts
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -141,27 +180,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _hits(rows, blocks).drop("row")
 
 
+HITS = "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _hits(rows: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     """The hits of all blocks in rows of (doc_id, text, row), each on the whole text."""
-    small_batches(rows.sparkSession)
     parts = []
     for block in blocks:
         windows = rows.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
 
         def search(batches, windows=windows):
-            for frame, spans, items, counts in shards(windows.value, batches):
-                n = range(len(frame))
-                yield pd.DataFrame(
-                    {
-                        "doc_id": frame["doc_id"],
-                        "row": frame["row"],
-                        "n_words": pd.Series(counts, dtype="int64"),
-                        "spans": [[{"start": a, "end": b} for a, b in spans.get(i, ())] for i in n],
-                        "items": [sorted(items.get(i, ())) for i in n],
-                    }
-                )
-
-        parts.append(rows.mapInPandas(search, "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"))
+            names = windows.value.names
+            for held, spans, items, counts in shards(windows.value, batches):
+                n = range(len(counts))
+                found = pa.array([[{"start": a, "end": b} for a, b in spans.get(i, ())] for i in n], _SPANS)
+                named = pa.array([sorted(names[k] for k in items.get(i, ())) for i in n], pa.list_(pa.string()))
+                out = pa.Table.from_arrays([held.column("doc_id"), held.column("row"), pa.array(counts, pa.int64()), found, named], names=["doc_id", "row", "n_words", "spans", "items"])
+                yield from out.combine_chunks().to_batches()
+
+        parts.append(rows.mapInArrow(search, HITS))
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -198,51 +236,53 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows the text. The spans of all blocks of the benchmark are found on the whole text
     and cut at once, so the result does not depend on the number of blocks.
     """
-    small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark)
     if len(blocks) == 1:
         windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in blocks[0].collect()]))
 
         def clean(batches):
-            for frame, spans, _, counts in shards(windows.value, batches):
-                yield _without(frame, spans, counts)
+            for held, spans, _, counts in shards(windows.value, batches):
+                yield from _without(held, spans, counts)
 
-        return docs.mapInPandas(clean, docs.schema)
-    row, hit, words = "_hit_row", "_hit_spans", "_hit_words"
-    while {row, hit, words} & set(docs.columns):
-        row, hit, words = f"{row}_", f"{hit}_", f"{words}_"
+        return docs.mapInArrow(clean, docs.schema)
+    row, hit, words = fresh(docs.columns, "_hit_row", "_hit_spans", "_hit_words")
     numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
     found = _hits(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), blocks)
     found = found.filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(hit), F.col("n_words").alias(words))
 
     def clean_marked(batches):
-        for frame in batches:
-            spans = {}
-            for i, marked in enumerate(frame[hit]):
-                if marked is None:
-                    continue
-                for s in sorted(marked, key=lambda s: s["start"]):
+        for batch in batches:
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for i, marked in enumerate(batch.column(hit).to_pylist()):
+                for s in sorted(marked or (), key=lambda s: s["start"]):
                     own = spans.setdefault(i, [])
                     if own and s["start"] <= own[-1][1]:
                         own[-1] = (own[-1][0], max(own[-1][1], s["end"]))
                     else:
                         own.append((s["start"], s["end"]))
-            counts = frame[words].tolist()
-            yield _without(frame.drop(columns=[row, hit, words]), spans, counts)
-
-    return numbered.join(found, row, "left").mapInPandas(clean_marked, docs.schema)
-
-
-def _without(frame: pd.DataFrame, spans: dict[int, list[tuple[int, int]]], counts: list) -> pd.DataFrame:
-    gone = []
-    for i, found in spans.items():
-        if sum(b - a for a, b in found) == counts[i]:
-            gone.append(i)
-        text = cut(frame.at[i, "text"], found)
-        frame.at[i, "text"] = text
-        if "n_chars" in frame:
-            frame.at[i, "n_chars"] = len(text)
-    return frame.drop(index=gone)
+            yield from _without(pa.Table.from_batches([batch.drop_columns([row, hit, words])]), spans, batch.column(words).to_pylist())
+
+    return numbered.join(found, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], row, hit, words).mapInArrow(clean_marked, docs.schema)
+
+
+def _without(held: pa.Table, spans: dict[int, list[tuple[int, int]]], counts: list):
+    """The rows without the words of their spans; other columns pass as they are, whatever their types."""
+    if spans:
+        texts = held.column("text").to_pylist()
+        for i, found in spans.items():
+            texts[i] = cut(texts[i], found)
+        changes = {"text": texts}
+        if "n_chars" in held.column_names and pa.types.is_integer(held.schema.field("n_chars").type):
+            sizes = held.column("n_chars").to_pylist()
+            for i in spans:
+                sizes[i] = len(texts[i])
+            changes["n_chars"] = sizes
+        for name, values in changes.items():
+            at = held.schema.get_field_index(name)
+            held = held.set_column(at, held.schema.field(at), pa.array(values, held.schema.field(at).type))
+        gone = {i for i, found in spans.items() if sum(b - a for a, b in found) == counts[i]}
+        held = held.filter(pa.array([i not in gone for i in range(len(counts))]))
+    yield from held.combine_chunks().to_batches()
 
 
 def op4_benchmark_decontamination(spark, sf_dir):
