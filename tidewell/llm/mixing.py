@@ -1,16 +1,22 @@
 """Mixing sources to target weights.
 
 Each source's documents lie end to end on a line of words, cut into blocks of ``BLOCK`` words. A source's
-target is its weight's share of all words, held to ``MOST`` times its size (water-filling). The target
-makes a number of slots; the number of a source's slots in each output shard is a multinomial draw, and
-slot ``j`` takes block ``permutation(j mod blocks)`` of the source's pseudorandom permutation for pass
-``j div blocks`` (a keyed Feistel network, cycle-walked). The drawn slots then join the blocks' words by block index:
+target is its weight's share of all words, held to ``MOST`` times its size (water-filling), and makes a number of
+slots. Output shards have ``SHARD_SLOTS`` slots each, and shards are drawn in groups of ``GROUP``. A group gets its
+even share of every source's slots; within it each shard's source counts are a multinomial draw of ``SHARD_SLOTS`` slots over
+what the group still has of its sources, never more than that; its last shard has the rest. So every source's total
+meets its target exactly, which independent draws could not promise, and no document can exceed ``MOST`` times its size.
+Slot ``j`` of a source takes block ``permutation(j mod blocks)`` of the source's pseudorandom permutation for pass
+``j div blocks`` (a keyed Feistel network, cycle-walked). The drawn slots join the blocks' words by block index:
 ``mixed`` gives the mixed corpus, one row a slot, and ``mix`` writes it into the shared folder and counts ``taken`` in what was written.
-The multinomial is drawn source by source over the shards, so each source's total meets its target and
-only a source's spread over the shards is random; no task or driver holds the whole matrix.
 
-Offsets come from two levels of prefix sums (bucket of documents, then document), so that a source with
-a third of all rows never sits in one task. Texts are shuffled with their rows' offsets, as pieces of blocks, and as blocks. Reruns agree: draws and
+A group's share comes from a closed form of its number, so nothing is carried from group to group and no table grows with
+the number of shards in one task; a group holds at most about ``GROUP * SHARD_SLOTS`` rows.
+
+A source's line goes through its buckets (hashes of id and text), and in a bucket through ids, sizes and hashes, so it does not
+depend on how the rows were dealt. The buckets' bases are prefix sums over a table with a row for each bucket and source. One shuffle
+brings the texts into the order of the line, where they are cut into blocks; only parts of blocks at a bucket's ends
+are put together later. A source with a third of all rows never sits in one task. Reruns agree: draws and
 permutations are keyed by ``SEED`` and the source's name alone.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source of its
@@ -25,16 +31,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, shuffle_partitions, sized_broadcast, small_batches, stored, table
+from tidewell.llm.common import discard, durable, shuffle_partitions, sized_broadcast, stored, table
 
 BLOCK = 64  # words
 MOST = 3  # times a source's size
 WEIGHTS = 3  # weights 1, 2, ... repeating over the sources in order
 SHARD_SLOTS = 4096
-MOST_SHARDS = 4096
+GROUP = 16  # shards drawn together
 SEED = 20_241
 ROUNDS = 4
 
@@ -62,105 +69,205 @@ def _key(source: str, epoch: int) -> int:
 
 
 def sized(docs: DataFrame) -> DataFrame:
+    """The documents with size, source and bucket; stored, so that row numbers are settled."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    return docs.select("doc_id", F.col("source").alias("source"), source.alias("_s"), size.alias("size"), F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), source.alias("_s"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.select("_row", "_s", "doc_id", size.alias("size"), F.xxhash64("doc_id", "text").alias("_h"), "text"))
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """Per source: _s, source_size, target, blocks, slots. The windows see one row for each source."""
-    by = sizes.groupBy("_s", "source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    w = by.withColumn("weight", (F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1) % WEIGHTS + 1)
-    most = F.col("source_size") * MOST
-    filled = every.orderBy(most / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum(most).over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing))
-    w = w.withColumn("place", F.row_number().over(filled)).withColumn("level", (F.sum("source_size").over(every) - before) / onward)
-    w = w.withColumn("free", F.min(F.when(most / F.col("weight") > F.col("level"), F.struct("place", "level"))).over(every))
-    free = F.col("free.place").isNotNull() & (F.col("place") >= F.col("free.place"))
-    w = w.withColumn("target", F.when(free, F.col("weight") * F.col("free.level")).otherwise(most.cast("double")))
-    w = w.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK))
-    slots = F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * MOST)).otherwise(F.lit(0))
-    return w.select("_s", "source_size", "target", "blocks", slots.cast("long").alias("slots"))
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Sources with their place in order: sorted ranges, each counted, so that no task sees all sources."""
+    by = sizes.groupBy("_s").agg(F.sum("size").alias("source_size"))
+    null_last = F.when(F.col("_s") == "-", 1).otherwise(0)
+    ranges = durable(by.repartitionByRange(null_last, "_s").select("_s", "source_size", F.spark_partition_id().alias("_part")))
+    counts, before = [], 0
+    for part, n in sorted(tuple(r) for r in ranges.groupBy("_part").agg(F.count("*")).collect()):  # a row for each partition
+        counts.append((part, before))
+        before += n
+    bases = F.broadcast(sizes.sparkSession.createDataFrame(counts, "_part int, _base long"))
+    own = Window.partitionBy("_part").orderBy(null_last, "_s")
+    return ranges.withColumn("_own", F.row_number().over(own) - 1).join(bases, "_part").select("_s", "source_size", (F.col("_own") + F.col("_base")).alias("place"))
 
 
-def draw(plan: DataFrame) -> DataFrame:
-    """Blocks for slots: _s, shard, slot (within the source), block."""
-    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    shards = min(MOST_SHARDS, max(1, math.ceil(total / SHARD_SLOTS)))
-
-    def counts(batches):
-        for frame in batches:
-            for s, blocks, slots in zip(frame["_s"], frame["blocks"], frame["slots"], strict=True):
-                n = np.random.default_rng([SEED, _key(s, -1)]).multinomial(slots, np.full(shards, 1 / shards))
-                some = n > 0
-                yield pd.DataFrame({"_s": s, "blocks": blocks, "shard": np.flatnonzero(some), "first": (np.cumsum(n) - n)[some], "n": n[some]})
-
-    def fill(batches):
-        for frame in batches:
-            for s, blocks, shard, first, n in frame.itertuples(index=False, name=None):
-                slot = np.arange(first, first + n)
-                block = np.empty(n, np.int64)
+def targets(sizes: DataFrame) -> DataFrame:
+    """Per source: _s, source_size, target, blocks, slots.
+
+    The level (words for each unit of weight) rises until what the sources held to MOST times their size leave is shared out;
+    a round is one aggregate, and each round holds at least one more source.
+    """
+    plan = durable(_ranked(sizes).withColumn("weight", F.col("place") % WEIGHTS + 1).withColumn("most", F.col("source_size") * MOST))
+    level = 0.0
+    while True:
+        held = F.col("most") <= F.lit(level) * F.col("weight")
+        total, kept, weight = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(held, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0))).first()
+        rise = (total - kept) / weight if weight else level
+        if rise <= level:
+            break
+        level = rise
+    target = F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))
+    blocks = F.ceil(F.col("source_size") / BLOCK)
+    slots = F.when(F.col("source_size") > 0, F.least(F.round(target * blocks / F.col("source_size")).cast("long"), blocks * MOST)).otherwise(F.lit(0))
+    return plan.select("_s", "source_size", target.alias("target"), blocks.alias("blocks"), slots.cast("long").alias("slots"))
+
+
+def share(slots: int, groups: int, phase: int, g):
+    """A source's slots in the groups before group ``g``: an even share, its rounding shifted by the source's phase."""
+    return (slots * g + phase) // groups
+
+
+def _group_rows(batches, groups: int):
+    """(group, source, blocks, first slot, slots) of the groups that have slots of a source."""
+    for frame in batches:
+        for s, blocks, slots in zip(frame["_s"], frame["blocks"], frame["slots"], strict=True):
+            phase = _key(s, -2) % groups
+            if groups <= slots * 4:
+                stretches = (range(a, min(groups, a + 65_536)) for a in range(0, groups, 65_536))
+            else:  # the groups in which its few slots lie
+                stretches = [sorted({((k + 1) * groups - phase - 1) // slots for k in range(slots)})]
+            for stretch in stretches:
+                first = [share(slots, groups, phase, g) for g in stretch]
+                n = [share(slots, groups, phase, g + 1) - f for g, f in zip(stretch, first, strict=True)]
+                yield pd.DataFrame({"g": list(stretch), "_s": s, "blocks": blocks, "first": first, "n": n}).query("n > 0")
+
+
+def deal(counts: np.ndarray, group: int) -> list[np.ndarray]:
+    """Source counts of each shard of a group: multinomial draws over what is left, the last shard has the rest."""
+    rng = np.random.default_rng([SEED, group])
+    left, out = counts.astype(np.int64).copy(), []
+    while left.sum() > SHARD_SLOTS:
+        drawn = np.zeros(len(left), np.int64)
+        while (open_ := SHARD_SLOTS - drawn.sum()) > 0:
+            drawn += np.minimum(rng.multinomial(open_, (left - drawn) / (left - drawn).sum()), left - drawn)
+        out.append(drawn)
+        left -= drawn
+    return [*out, left]
+
+
+def _fill(batches):
+    """Slots of the groups: rows come in order of group and source."""
+
+    def slots(g, rows):
+        counts = np.array([n for *_, n in rows], np.int64)
+        at = np.array([first for _, _, first, _ in rows], np.int64)
+        for k, drawn in enumerate(deal(counts, g)):
+            out = []
+            for i in np.flatnonzero(drawn):
+                s, blocks, *_ = rows[i]
+                slot = np.arange(at[i], at[i] + drawn[i])
+                block = np.empty(len(slot), np.int64)
                 for epoch in np.unique(slot // blocks):
                     own = slot // blocks == epoch
                     block[own] = permute(slot[own] % blocks, blocks, _key(s, int(epoch)))
-                yield pd.DataFrame({"_s": s, "shard": shard, "slot": slot, "block": block})
+                out.append(pd.DataFrame({"_s": s, "shard": (g << 16) + k, "slot": slot, "block": block}))
+            at += drawn
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    group, rows = None, []
+    for frame in batches:
+        for g, s, blocks, first, n in frame[["g", "_s", "blocks", "first", "n"]].itertuples(index=False, name=None):
+            if g != group and rows:
+                yield from slots(group, rows)
+                rows = []
+            group = g
+            rows.append((s, blocks, first, n))
+    if rows:
+        yield from slots(group, rows)
 
-    drawn = plan.filter("slots > 0").select("_s", "blocks", "slots").mapInPandas(counts, "_s string, blocks long, shard long, first long, n long")
+
+def draw(plan: DataFrame) -> DataFrame:
+    """Blocks for slots: _s, shard, slot (within the source), block."""
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    groups = max(1, -(-total // (GROUP * SHARD_SLOTS)))
+    rows = plan.filter("slots > 0").select("_s", "blocks", "slots").mapInPandas(lambda batches: _group_rows(batches, groups), "g long, _s string, blocks long, first long, n long")
     # few small rows that grow to many: a given number of tasks, which AQE doesn't merge
-    return drawn.repartition(shuffle_partitions(plan.sparkSession), "_s", "shard").mapInPandas(fill, "_s string, shard long, slot long, block long")
+    dealt = rows.repartition(shuffle_partitions(plan.sparkSession), "g").sortWithinPartitions("g", "_s")
+    return dealt.mapInPandas(_fill, "_s string, shard long, slot long, block long")
 
 
 def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents with their offset on the source's line, and the source's figures."""
+    """Rows in the order of their source's line, with the place of their bucket on it. The window sees one row for each bucket and source."""
     buckets = 1 << max(4, math.ceil(math.log2(2 * math.sqrt(sizes.count() + 1))))
-    dealt = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    dealt = sizes.filter("size > 0").withColumn("bucket", F.pmod("_h", F.lit(buckets)))
     sums = dealt.groupBy("_s", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(plan.select("_s", "source_size", "target"), "_s").drop("words")
-    within = Window.partitionBy("_s", "bucket").orderBy("doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["_s", "bucket"]).withColumn("offset", F.col("base") + F.col("inner"))
+    bases = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    bases = durable(bases.join(plan.select("_s", "source_size"), "_s").select("_s", "bucket", "base", "source_size"))
+    rows = dealt.join(sized_broadcast(bases, bases.count()), ["_s", "bucket"])
+    return rows.repartition("_s", "bucket").sortWithinPartitions("_s", "bucket", "doc_id", "size", "_h", "_row").select("_row", "_s", "base", "source_size", "text")
 
 
-def _pieces(batches):
-    """Each document's words, cut at the borders of its source's blocks."""
-    for frame in batches:
-        out = []
-        for row, source, offset, text in zip(frame["_row"], frame["_s"], frame["offset"], frame["text"], strict=True):
+BLOCKS = "_s string, block long, at long, text string, parts array<struct<row:long,words:long>>"
+_PARTS = pa.list_(pa.struct([("row", pa.int64()), ("words", pa.int64())]))
+
+
+def _blocks(batches):
+    """Blocks of rows that follow each other on their source's line; parts of blocks at the ends of buckets."""
+    schema = pa.schema([("_s", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("parts", _PARTS)])
+    at = (None, None)  # source and base of the bucket
+    held = None  # block, place in it, words, parts
+    offset, out = 0, []
+
+    def close():
+        block, place, words, parts = held
+        out.append((at[0], block, place, b" ".join(words).decode("utf-8", "surrogatepass"), parts))
+
+    def table_of(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for row, source, base, size, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "_s", "base", "source_size", "text")), strict=True):
+            if at != (source, base):
+                if held:
+                    close()
+                at, held, offset = (source, base), None, base
             words = text.encode("utf-8", "surrogatepass").split()
             first = 0
             while first < len(words):
-                block, at = divmod(offset + first, BLOCK)
-                own = words[first : first + BLOCK - at]
-                out.append((source, block, at, row, len(own), b" ".join(own).decode("utf-8", "surrogatepass")))
+                if held is None:
+                    held = [*divmod(offset, BLOCK), [], []]
+                own = words[first : first + BLOCK - held[1] - len(held[2])]
+                held[2] += own
+                held[3].append({"row": row, "words": len(own)})
                 first += len(own)
-        yield pd.DataFrame(out, columns=["_s", "block", "at", "row", "words", "text"])
-
-
-def _mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    small_batches(rows.sparkSession)
-    pieces = rows.filter("size > 0").select("_row", "_s", "offset", "text").mapInPandas(_pieces, "_s string, block long, at long, row long, words long, text string")
-    blocks = pieces.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "row", "words", "text"))).alias("_p"))
-    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.transform("_p", lambda p: F.struct(p["row"].alias("row"), p["words"].alias("words"))).alias("parts"))
+                offset += len(own)
+                if offset % BLOCK == 0 or offset == size:
+                    close()
+                    held = None
+                if len(out) >= 16_384:
+                    yield table_of(out)
+                    out.clear()
+    if held:
+        close()
+    yield table_of(out)
+
+
+def _mixed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    cut = placed(sizes, plan).mapInArrow(_blocks, BLOCKS)
+    # one shuffle of texts: the join below has the same keys
+    blocks = cut.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "parts"))).alias("_p"))
+    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.flatten("_p.parts").alias("parts"))
     source = F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("source")
     return draw(plan).join(blocks, ["_s", "block"]).select("shard", source, "slot", "block", "text", "parts")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus, one row a slot: shard, source, slot (within the source), block, text, and parts (row number and words of each document in it)."""
-    sizes = durable(sized(docs))
-    plan = durable(targets(sizes))
-    return _mixed(placed(sizes, plan), plan)
+    sizes = sized(docs)
+    return _mixed(sizes, durable(targets(sizes)))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken. The mixed corpus is left in the shared folder."""
-    sizes = durable(sized(docs))
+    """One row per document: doc_id, size, source_size, target, taken. The mixed corpus is left in the shared folder (``mixed`` gives its rows)."""
+    sizes = sized(docs)
     plan = durable(targets(sizes))
-    out = stored(_mixed(placed(sizes, plan), plan))
+    out = stored(_mixed(sizes, plan))
     taken = out.select(F.explode("parts").alias("p")).groupBy(F.col("p.row").alias("_row")).agg(F.sum("p.words").alias("taken"))
-    figures = sizes.select("_row", "_s", "doc_id", "size").join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s")
+    figures = durable(sizes.select("_row", "_s", "doc_id", "size"))
+    discard(sizes)
+    figures = figures.join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s")
     return figures.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
