@@ -230,11 +230,13 @@ def test_mixed_blocks(spark, odd_docs):
     for s, t in rows:
         words[s].update(SPACED.findall(t or ""))
     assert got and len({(r["source"], r["slot"]) for r in got}) == len(got)
-    blocks = {}
+    blocks, shards = {}, Counter()
     for r in got:
         w = SPACED.findall(r["text"])
-        assert len(w) == sum(p["words"] for p in r["parts"]) <= mixing.BLOCK
+        assert 0 < len(w) <= mixing.BLOCK and r["docs"] == sorted(set(r["docs"]))
         assert blocks.setdefault((r["source"], r["block"]), w) == w
+        shards[r["shard"]] += 1
+    assert all(n <= mixing.SHARD_SLOTS for n in shards.values()) and sum(n < mixing.SHARD_SLOTS for n in shards.values()) <= 1
     for s in words:
         seen = Counter(x for (o, _), w in blocks.items() if o == s for x in w)
         n = -(-sum(words[s].values()) // mixing.BLOCK)
@@ -242,6 +244,45 @@ def test_mixed_blocks(spark, odd_docs):
     assert sum(len(SPACED.findall(r["text"])) for r in got) == sum(r["taken"] for r in mixing.mix(odd_docs).collect())
 
 
+def test_taken_is_what_the_draw_says(spark, odd_docs):
+    """The draw and the permutations computed anew, slot by slot, against the query's counts."""
+    import math
+    import zlib
+
+    rows = [("-" if r["source"] is None else "=" + r["source"], r["doc_id"], SPACED.findall(r["text"] or "")) for r in odd_docs.collect()]
+    want = Counter()
+    sizes = {r["source_size"]: r["target"] for r in mixing.mix(odd_docs).collect()}
+    for s in {s for s, *_ in rows}:
+        total = sum(len(w) for o, _, w in rows if o == s)
+        if not total:
+            continue
+        blocks = math.ceil(total / mixing.BLOCK)
+        slots = min(math.floor(sizes[total] * blocks / total + 0.5), 3 * blocks)
+        times = Counter()
+        for j in range(slots):
+            key = zlib.crc32(f"{mixing.SEED}:{j // blocks}:{s}".encode())
+            times[int(mixing.permute(np.array([j % blocks]), blocks, key)[0])] += 1
+        want[s] = sum(n * (min(total, (b + 1) * mixing.BLOCK) - b * mixing.BLOCK) for b, n in times.items())
+    got = Counter()
+    for r in mixing.mixed(odd_docs).collect():
+        got["-" if r["source"] is None else "=" + r["source"]] += len(SPACED.findall(r["text"]))
+    assert got == want
+
+
+def test_shards_are_multinomial():
+    """Shards have the fixed size, use up the group's counts, and vary about the group's shares."""
+    counts = np.array([4096 * 8, 4096 * 3, 4096 * 5, 17, 0])
+    shards = mixing.deal(counts, 5)
+    assert (sum(shards) == counts).all() and [int(x.sum()) for x in shards] == [4096] * 16 + [17]
+    first = np.array([mixing.deal(counts, g)[0] for g in range(200)])
+    expected = 4096 * counts / counts.sum()
+    assert np.allclose(first.mean(axis=0), expected, atol=10)
+    assert np.allclose(first.std(axis=0)[:3], np.sqrt(expected * (1 - counts / counts.sum()))[:3], rtol=0.2)
+    for slots, groups in ((1, 7), (5, 3), (1000, 16), (3, 100)):
+        rows = [r for f in mixing._group_rows([__import__("pandas").DataFrame({"_s": ["a"], "blocks": [slots], "slots": [slots]})], groups) for r in f.itertuples(index=False)]
+        assert sum(r.n for r in rows) == slots and [r.first for r in rows] == [sum(x.n for x in rows[:i]) for i in range(len(rows))]
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         for key in (1, 2**32 - 1):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, durable, shuffle_partitions, sized_broadcast, stored, table
+from tidewell.llm.common import durable, shuffle_partitions, sized_broadcast, stored, table
 
 BLOCK = 64  # words
 MOST = 3  # times a source's size
@@ -68,12 +68,16 @@ def _key(source: str, epoch: int) -> int:
     return zlib.crc32(f"{SEED}:{epoch}:{source}".encode("utf-8", "surrogatepass"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """The documents with size, source and bucket; stored, so that row numbers are settled."""
+def _columns(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), source.alias("_s"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.select("_row", "_s", "doc_id", size.alias("size"), F.xxhash64("doc_id", "text").alias("_h"), "text"))
+    rows = docs.select(source.alias("_s"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("_s", "doc_id", size.alias("size"), F.xxhash64("doc_id", "text").alias("_h"), "text")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Source, id, size and hash of the documents, without their texts."""
+    return durable(_columns(docs).drop("text"))
 
 
 def _ranked(sizes: DataFrame) -> DataFrame:
@@ -186,51 +190,55 @@ def draw(plan: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_fill, "_s string, shard long, slot long, block long")
 
 
-def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows in the order of their source's line, with the place of their bucket on it. The window sees one row for each bucket and source."""
+#: The order of a bucket's rows on the line; rows equal in all of it have the same id and text.
+ORDER = ["doc_id", "size", "_h"]
+
+
+def bucketed(sizes: DataFrame, plan: DataFrame) -> tuple[int, DataFrame]:
+    """The number of buckets, and for each source and bucket its base on the source's line. The window sees one row for each."""
     buckets = 1 << max(4, math.ceil(math.log2(2 * math.sqrt(sizes.count() + 1))))
-    dealt = sizes.filter("size > 0").withColumn("bucket", F.pmod("_h", F.lit(buckets)))
-    sums = dealt.groupBy("_s", "bucket").agg(F.sum("size").alias("words"))
+    sums = sizes.filter("size > 0").groupBy("_s", F.pmod("_h", F.lit(buckets)).alias("bucket")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    bases = durable(bases.join(plan.select("_s", "source_size"), "_s").select("_s", "bucket", "base", "source_size"))
-    rows = dealt.join(sized_broadcast(bases, bases.count()), ["_s", "bucket"])
-    return rows.repartition("_s", "bucket").sortWithinPartitions("_s", "bucket", "doc_id", "size", "_h", "_row").select("_row", "_s", "base", "source_size", "text")
+    return buckets, durable(bases.join(plan.select("_s", "source_size"), "_s").select("_s", "bucket", "base", "source_size"))
 
 
-BLOCKS = "_s string, block long, at long, text string, parts array<struct<row:long,words:long>>"
-_PARTS = pa.list_(pa.struct([("row", pa.int64()), ("words", pa.int64())]))
+def _with_bases(rows: DataFrame, buckets: int, bases: DataFrame) -> DataFrame:
+    return rows.filter("size > 0").withColumn("bucket", F.pmod("_h", F.lit(buckets))).join(sized_broadcast(bases, bases.count()), ["_s", "bucket"])
+
+
+BLOCKS = "_s string, block long, at long, text string, docs array<long>"
 
 
 def _blocks(batches):
-    """Blocks of rows that follow each other on their source's line; parts of blocks at the ends of buckets."""
-    schema = pa.schema([("_s", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("parts", _PARTS)])
+    """Blocks of rows that follow each other on their source's line, with the places of their documents on it; parts of blocks at the ends of buckets."""
+    schema = pa.schema([("_s", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("docs", pa.list_(pa.int64()))])
     at = (None, None)  # source and base of the bucket
-    held = None  # block, place in it, words, parts
+    held = None  # block, place in it, words, documents
     offset, out = 0, []
 
     def close():
-        block, place, words, parts = held
-        out.append((at[0], block, place, b" ".join(words).decode("utf-8", "surrogatepass"), parts))
+        block, place, words, own = held
+        out.append((at[0], block, place, b" ".join(words).decode("utf-8", "surrogatepass"), own))
 
     def table_of(rows):
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
-        for row, source, base, size, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "_s", "base", "source_size", "text")), strict=True):
+        for source, base, size, text in zip(*(batch.column(c).to_pylist() for c in ("_s", "base", "source_size", "text")), strict=True):
             if at != (source, base):
                 if held:
                     close()
                 at, held, offset = (source, base), None, base
             words = text.encode("utf-8", "surrogatepass").split()
-            first = 0
+            doc, first = offset, 0
             while first < len(words):
                 if held is None:
                     held = [*divmod(offset, BLOCK), [], []]
                 own = words[first : first + BLOCK - held[1] - len(held[2])]
                 held[2] += own
-                held[3].append({"row": row, "words": len(own)})
+                held[3].append(doc)
                 first += len(own)
                 offset += len(own)
                 if offset % BLOCK == 0 or offset == size:
@@ -244,31 +252,43 @@ def _blocks(batches):
     yield table_of(out)
 
 
-def _mixed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    cut = placed(sizes, plan).mapInArrow(_blocks, BLOCKS)
-    # one shuffle of texts: the join below has the same keys
-    blocks = cut.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "parts"))).alias("_p"))
-    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.flatten("_p.parts").alias("parts"))
+def _mixed(docs: DataFrame, plan: DataFrame, buckets: int, bases: DataFrame) -> DataFrame:
+    rows = _with_bases(_columns(docs), buckets, bases).repartition("_s", "bucket").sortWithinPartitions("_s", "bucket", *ORDER)
+    cut = rows.select("_s", "base", "source_size", "text").mapInArrow(_blocks, BLOCKS)
+    # one shuffle of blocks: the join below has the same keys
+    blocks = cut.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "docs"))).alias("_p"))
+    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.flatten("_p.docs").alias("docs"))
     source = F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("source")
-    return draw(plan).join(blocks, ["_s", "block"]).select("shard", source, "slot", "block", "text", "parts")
+    return draw(plan).join(blocks, ["_s", "block"]).select("shard", source, "slot", "block", "text", "docs")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mixed corpus, one row a slot: shard, source, slot (within the source), block, text, and parts (row number and words of each document in it)."""
+    """The mixed corpus, one row a slot: shard, source, slot (within the source), block, text, and docs (places on the source's line of the documents in it)."""
     sizes = sized(docs)
-    return _mixed(sizes, durable(targets(sizes)))
+    plan = durable(targets(sizes))
+    return _mixed(docs, plan, *bucketed(sizes, plan))
+
+
+def words_taken(out: DataFrame) -> DataFrame:
+    """Of rows of the mix: _s, offset (place of a document on its source's line), taken (its words in all slots)."""
+    begin = F.col("block") * BLOCK
+    parts = out.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("_s"), begin.alias("begin"), (begin + F.regexp_count("text", F.lit(r"[^ ]+"))).alias("end"), "docs")
+    ends = F.concat(F.slice("docs", F.lit(2), F.size("docs")), F.array("end"))
+    parts = parts.select("_s", F.explode(F.zip_with("docs", ends, lambda d, e: F.struct(d.alias("offset"), (e - F.greatest(d, F.col("begin"))).alias("words")))).alias("p"))
+    return parts.groupBy("_s", "p.offset").agg(F.sum("p.words").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken. The mixed corpus is left in the shared folder (``mixed`` gives its rows)."""
     sizes = sized(docs)
     plan = durable(targets(sizes))
-    out = stored(_mixed(sizes, plan))
-    taken = out.select(F.explode("parts").alias("p")).groupBy(F.col("p.row").alias("_row")).agg(F.sum("p.words").alias("taken"))
-    figures = durable(sizes.select("_row", "_s", "doc_id", "size"))
-    discard(sizes)
-    figures = figures.join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s")
-    return figures.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    buckets, bases = bucketed(sizes, plan)
+    taken = words_taken(stored(_mixed(docs, plan, buckets, bases)))
+    within = Window.partitionBy("_s", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    on_line = _with_bases(sizes, buckets, bases).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    counted = on_line.select("_s", "doc_id", "size", "offset").join(taken, ["_s", "offset"], "left").select("_s", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    figures = counted.unionByName(sizes.filter("size = 0").select("_s", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
+    return figures.join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def op6_source_mixing(spark, sf_dir):
