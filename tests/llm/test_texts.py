@@ -279,14 +279,15 @@ def test_shards_are_multinomial():
     assert np.allclose(first.mean(axis=0), expected, atol=10)
     assert np.allclose(first.std(axis=0)[:3], np.sqrt(expected * (1 - counts / counts.sum()))[:3], rtol=0.2)
     for slots, groups in ((1, 7), (5, 3), (1000, 16), (3, 100)):
-        rows = [r for f in mixing._group_rows([__import__("pandas").DataFrame({"_s": ["a"], "blocks": [slots], "slots": [slots]})], groups) for r in f.itertuples(index=False)]
+        rows = [r for f in mixing._group_rows([__import__("pandas").DataFrame({"_s": ["a"], "_k": [0], "blocks": [slots], "slots": [slots]})], groups) for r in f.itertuples(index=False)]
         assert sum(r.n for r in rows) == slots and [r.first for r in rows] == [sum(x.n for x in rows[:i]) for i in range(len(rows))]
 
 
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         for key in (1, 2**32 - 1):
-            assert sorted(mixing.permute(np.arange(n), n, key).tolist()) == list(range(n))
+            there = mixing.permute(np.arange(n), n, key)
+            assert sorted(there.tolist()) == list(range(n)) and mixing.permute(there, n, key, back=True).tolist() == list(range(n))
 
 
 # ---------------------------------------------------------------- quality

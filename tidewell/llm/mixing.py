@@ -13,10 +13,10 @@ Slot ``j`` of a source takes block ``permutation(j mod blocks)`` of the source's
 A group's share comes from a closed form of its number, so nothing is carried from group to group and no table grows with
 the number of shards in one task; a group holds at most about ``GROUP * SHARD_SLOTS`` rows.
 
-A source's line goes through its buckets (hashes of id and text), and in a bucket through ids, sizes and hashes, so it does not
+A source's line goes through its buckets (hashes of id and text), and in a bucket through ids and hashes, so it does not
 depend on how the rows were dealt. The buckets' bases are prefix sums over a table with a row for each bucket and source. One shuffle
-brings the texts into the order of the line, where they are cut into blocks; only parts of blocks at a bucket's ends
-are put together later. A source with a third of all rows never sits in one task. Reruns agree: draws and
+brings the texts into the order of the line, where they are cut into blocks; blocks that no slot takes (the inverse permutation tells) go no further, and
+only parts of blocks at a bucket's ends are put together later. A source with a third of all rows never sits in one task. Reruns agree: draws and
 permutations are keyed by ``SEED`` and the source's name alone.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source of its
@@ -46,19 +46,26 @@ SEED = 20_241
 ROUNDS = 4
 
 
-def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
-    """A keyed pseudorandom permutation of range(size), at the given places."""
+def _round(half: np.ndarray, key: int, r: int) -> np.ndarray:
+    x = half + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permute(index: np.ndarray, size: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed pseudorandom permutation of range(size), or its inverse, at the given places."""
     half = max(1, (max(2, int(size)) - 1).bit_length() + 1 >> 1)
     mask = np.uint64((1 << half) - 1)
     out = np.asarray(index, np.uint64).copy()
     open_ = np.arange(len(out))
     while len(open_):
         left, right = out[open_] >> np.uint64(half), out[open_] & mask
-        for r in range(ROUNDS):
-            x = right + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((x ^ (x >> np.uint64(31))) & mask)
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            if back:
+                left, right = right ^ (_round(left, key, r) & mask), left
+            else:
+                left, right = right, left ^ (_round(right, key, r) & mask)
         out[open_] = (left << np.uint64(half)) | right
         open_ = open_[out[open_] >= np.uint64(size)]
     return out.astype(np.int64)
@@ -69,15 +76,20 @@ def _key(source: str, epoch: int) -> int:
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     rows = docs.select(source.alias("_s"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("_s", "doc_id", size.alias("size"), F.xxhash64("doc_id", "text").alias("_h"), "text")
+    return rows.select("_s", "doc_id", F.xxhash64("doc_id", "text").alias("_h"), "text")
+
+
+def _counted(batches):
+    for batch in batches:
+        size = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_s"), batch.column("doc_id"), pa.array(size, pa.int64()), batch.column("_h")], names=["_s", "doc_id", "size", "_h"])
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Source, id, size and hash of the documents, without their texts."""
-    return durable(_columns(docs).drop("text"))
+    return durable(_columns(docs).mapInArrow(_counted, "_s string, doc_id long, size long, _h long"))
 
 
 def _ranked(sizes: DataFrame) -> DataFrame:
@@ -95,7 +107,7 @@ def _ranked(sizes: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Per source: _s, source_size, target, blocks, slots.
+    """Per source: _s, _k (its place in order), source_size, target, blocks, slots, key (of its first pass).
 
     The level (words for each unit of weight) rises until what the sources held to MOST times their size leave is shared out;
     a round is one aggregate, and each round holds at least one more source.
@@ -112,7 +124,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     target = F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))
     blocks = F.ceil(F.col("source_size") / BLOCK)
     slots = F.when(F.col("source_size") > 0, F.least(F.round(target * blocks / F.col("source_size")).cast("long"), blocks * MOST)).otherwise(F.lit(0))
-    return plan.select("_s", "source_size", target.alias("target"), blocks.alias("blocks"), slots.cast("long").alias("slots"))
+    key = F.crc32(F.concat(F.lit(f"{SEED}:0:"), F.col("_s")).cast("binary"))
+    return plan.select("_s", F.col("place").alias("_k"), "source_size", target.alias("target"), blocks.cast("long").alias("blocks"), slots.cast("long").alias("slots"), key.alias("key"))
 
 
 def share(slots: int, groups: int, phase: int, g):
@@ -121,9 +134,9 @@ def share(slots: int, groups: int, phase: int, g):
 
 
 def _group_rows(batches, groups: int):
-    """(group, source, blocks, first slot, slots) of the groups that have slots of a source."""
+    """(group, source, its place, blocks, first slot, slots) of the groups that have slots of a source."""
     for frame in batches:
-        for s, blocks, slots in zip(frame["_s"], frame["blocks"], frame["slots"], strict=True):
+        for s, place, blocks, slots in zip(frame["_s"], frame["_k"], frame["blocks"], frame["slots"], strict=True):
             phase = _key(s, -2) % groups
             if groups <= slots * 4:
                 stretches = (range(a, min(groups, a + 65_536)) for a in range(0, groups, 65_536))
@@ -132,7 +145,7 @@ def _group_rows(batches, groups: int):
             for stretch in stretches:
                 first = [share(slots, groups, phase, g) for g in stretch]
                 n = [share(slots, groups, phase, g + 1) - f for g, f in zip(stretch, first, strict=True)]
-                yield pd.DataFrame({"g": list(stretch), "_s": s, "blocks": blocks, "first": first, "n": n}).query("n > 0")
+                yield pd.DataFrame({"g": list(stretch), "_s": s, "_k": place, "blocks": blocks, "first": first, "n": n}).query("n > 0")
 
 
 def deal(counts: np.ndarray, group: int) -> list[np.ndarray]:
@@ -153,45 +166,45 @@ def _fill(batches):
 
     def slots(g, rows):
         counts = np.array([n for *_, n in rows], np.int64)
-        at = np.array([first for _, _, first, _ in rows], np.int64)
+        at = np.array([first for *_, first, _ in rows], np.int64)
         for k, drawn in enumerate(deal(counts, g)):
             out = []
             for i in np.flatnonzero(drawn):
-                s, blocks, *_ = rows[i]
+                s, place, blocks, *_ = rows[i]
                 slot = np.arange(at[i], at[i] + drawn[i])
                 block = np.empty(len(slot), np.int64)
                 for epoch in np.unique(slot // blocks):
                     own = slot // blocks == epoch
                     block[own] = permute(slot[own] % blocks, blocks, _key(s, int(epoch)))
-                out.append(pd.DataFrame({"_s": s, "shard": (g << 16) + k, "slot": slot, "block": block}))
+                out.append(pd.DataFrame({"_k": place, "shard": (g << 16) + k, "slot": slot, "block": block}))
             at += drawn
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     group, rows = None, []
     for frame in batches:
-        for g, s, blocks, first, n in frame[["g", "_s", "blocks", "first", "n"]].itertuples(index=False, name=None):
+        for g, s, place, blocks, first, n in frame[["g", "_s", "_k", "blocks", "first", "n"]].itertuples(index=False, name=None):
             if g != group and rows:
                 yield from slots(group, rows)
                 rows = []
             group = g
-            rows.append((s, blocks, first, n))
+            rows.append((s, place, blocks, first, n))
     if rows:
         yield from slots(group, rows)
 
 
 def draw(plan: DataFrame) -> DataFrame:
-    """Blocks for slots: _s, shard, slot (within the source), block."""
+    """Blocks for slots: _k, shard, slot (within the source), block."""
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (GROUP * SHARD_SLOTS)))
-    rows = plan.filter("slots > 0").select("_s", "blocks", "slots").mapInPandas(lambda batches: _group_rows(batches, groups), "g long, _s string, blocks long, first long, n long")
+    rows = plan.filter("slots > 0").select("_s", "_k", "blocks", "slots").mapInPandas(lambda batches: _group_rows(batches, groups), "g long, _s string, _k long, blocks long, first long, n long")
     # few small rows that grow to many: a given number of tasks, which AQE doesn't merge
     dealt = rows.repartition(shuffle_partitions(plan.sparkSession), "g").sortWithinPartitions("g", "_s")
-    return dealt.mapInPandas(_fill, "_s string, shard long, slot long, block long")
+    return dealt.mapInPandas(_fill, "_k long, shard long, slot long, block long")
 
 
 #: The order of a bucket's rows on the line; rows equal in all of it have the same id and text.
-ORDER = ["doc_id", "size", "_h"]
+ORDER = ["doc_id", "_h"]
 
 
 def bucketed(sizes: DataFrame, plan: DataFrame) -> tuple[int, DataFrame]:
@@ -200,48 +213,63 @@ def bucketed(sizes: DataFrame, plan: DataFrame) -> tuple[int, DataFrame]:
     sums = sizes.filter("size > 0").groupBy("_s", F.pmod("_h", F.lit(buckets)).alias("bucket")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    return buckets, durable(bases.join(plan.select("_s", "source_size"), "_s").select("_s", "bucket", "base", "source_size"))
+    return buckets, durable(bases.join(plan.drop("source_size", "target"), "_s").select("_s", "bucket", "base", "_k", "blocks", "slots", "key"))
 
 
 def _with_bases(rows: DataFrame, buckets: int, bases: DataFrame) -> DataFrame:
-    return rows.filter("size > 0").withColumn("bucket", F.pmod("_h", F.lit(buckets))).join(sized_broadcast(bases, bases.count()), ["_s", "bucket"])
+    return rows.withColumn("bucket", F.pmod("_h", F.lit(buckets))).join(sized_broadcast(bases, bases.count()), ["_s", "bucket"])
 
 
-BLOCKS = "_s string, block long, at long, text string, docs array<long>"
+BLOCKS = "_k long, block long, text string, docs array<long>"
+
+
+def _drawn(k: np.ndarray, block: np.ndarray, plans: dict) -> np.ndarray:
+    """Whether a slot takes each block: all do once there are as many slots, else the slots of the first pass, which the inverse permutation names."""
+    out = np.ones(len(k), bool)
+    for source in np.unique(k):
+        blocks, slots, key = plans[source]
+        if slots < blocks:
+            own = k == source
+            out[own] = permute(block[own], blocks, key, back=True) < slots
+    return out
 
 
 def _blocks(batches):
-    """Blocks of rows that follow each other on their source's line, with the places of their documents on it; parts of blocks at the ends of buckets."""
-    schema = pa.schema([("_s", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("docs", pa.list_(pa.int64()))])
+    """Drawn blocks of rows that follow each other on their source's line, with the places of their documents on it; parts of blocks at the ends of buckets."""
     at = (None, None)  # source and base of the bucket
-    held = None  # block, place in it, words, documents
+    held = None  # block, words, documents
+    plans: dict[int, tuple] = {}
     offset, out = 0, []
 
     def close():
-        block, place, words, own = held
-        out.append((at[0], block, place, b" ".join(words).decode("utf-8", "surrogatepass"), own))
+        block, words, own = held
+        out.append((at[0], block, words, own))
 
     def table_of(rows):
-        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        k, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        keep = _drawn(k, block, plans)
+        rows = [r for r, x in zip(rows, keep, strict=True) if x]
+        arrays = [pa.array(k[keep]), pa.array(block[keep]), pa.array([b" ".join(r[2]) for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["_k", "block", "text", "docs"])
 
     for batch in batches:
-        for source, base, size, text in zip(*(batch.column(c).to_pylist() for c in ("_s", "base", "source_size", "text")), strict=True):
-            if at != (source, base):
+        for k, base, blocks, slots, key, text in zip(*(batch.column(c).to_pylist() for c in ("_k", "base", "blocks", "slots", "key", "text")), strict=True):
+            if at != (k, base):
                 if held:
                     close()
-                at, held, offset = (source, base), None, base
-            words = text.encode("utf-8", "surrogatepass").split()
+                at, held, offset = (k, base), None, base
+                plans[k] = blocks, slots, key
+            words = text.encode("utf-8", "surrogatepass").split() if text else []
             doc, first = offset, 0
             while first < len(words):
                 if held is None:
-                    held = [*divmod(offset, BLOCK), [], []]
-                own = words[first : first + BLOCK - held[1] - len(held[2])]
-                held[2] += own
-                held[3].append(doc)
+                    held = [offset // BLOCK, [], []]
+                own = words[first : first + BLOCK - offset % BLOCK]
+                held[1] += own
+                held[2].append(doc)
                 first += len(own)
                 offset += len(own)
-                if offset % BLOCK == 0 or offset == size:
+                if offset % BLOCK == 0:
                     close()
                     held = None
                 if len(out) >= 16_384:
@@ -253,29 +281,36 @@ def _blocks(batches):
 
 
 def _mixed(docs: DataFrame, plan: DataFrame, buckets: int, bases: DataFrame) -> DataFrame:
-    rows = _with_bases(_columns(docs), buckets, bases).repartition("_s", "bucket").sortWithinPartitions("_s", "bucket", *ORDER)
-    cut = rows.select("_s", "base", "source_size", "text").mapInArrow(_blocks, BLOCKS)
+    rows = _with_bases(_columns(docs), buckets, bases).select("_k", "bucket", *ORDER, "base", "blocks", "slots", "key", "text")
+    rows = rows.repartition("_k", "bucket").sortWithinPartitions("_k", "bucket", *ORDER)
+    cut = rows.select("_k", "base", "blocks", "slots", "key", "text").mapInArrow(_blocks, BLOCKS)
     # one shuffle of blocks: the join below has the same keys
-    blocks = cut.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("at", "text", "docs"))).alias("_p"))
-    blocks = blocks.select("_s", "block", F.array_join("_p.text", " ").alias("text"), F.flatten("_p.docs").alias("docs"))
-    source = F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("source")
-    return draw(plan).join(blocks, ["_s", "block"]).select("shard", source, "slot", "block", "text", "docs")
+    blocks = cut.groupBy("_k", "block").agg(F.array_sort(F.collect_list(F.struct("docs", "text"))).alias("_p"))
+    blocks = blocks.select("_k", "block", F.array_join("_p.text", " ").alias("text"), F.flatten("_p.docs").alias("docs"))
+    # the drawn slots grow with the data: never broadcast, whatever their estimate
+    return draw(plan).hint("shuffle_hash").join(blocks, ["_k", "block"]).select("shard", "_k", "slot", "block", "text", "docs")
+
+
+def _named(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    names = plan.select(F.col("_k").alias("_pk"), F.when(F.col("_s") != "-", F.substring("_s", 2, 1 << 30)).alias("source"))
+    return rows.join(sized_broadcast(names, plan.count()), F.col("_k") == F.col("_pk")).drop("_pk")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus, one row a slot: shard, source, slot (within the source), block, text, and docs (places on the source's line of the documents in it)."""
     sizes = sized(docs)
     plan = durable(targets(sizes))
-    return _mixed(docs, plan, *bucketed(sizes, plan))
+    return _named(_mixed(docs, plan, *bucketed(sizes, plan)), plan).select("shard", "source", "slot", "block", "text", "docs")
 
 
 def words_taken(out: DataFrame) -> DataFrame:
-    """Of rows of the mix: _s, offset (place of a document on its source's line), taken (its words in all slots)."""
+    """Of rows of the mix: _k, offset (place of a document on its source's line), taken (its words in all slots)."""
     begin = F.col("block") * BLOCK
-    parts = out.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("_s"), begin.alias("begin"), (begin + F.regexp_count("text", F.lit(r"[^ ]+"))).alias("end"), "docs")
+    words = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1
+    parts = out.select("_k", begin.alias("begin"), (begin + words).alias("end"), "docs")
     ends = F.concat(F.slice("docs", F.lit(2), F.size("docs")), F.array("end"))
-    parts = parts.select("_s", F.explode(F.zip_with("docs", ends, lambda d, e: F.struct(d.alias("offset"), (e - F.greatest(d, F.col("begin"))).alias("words")))).alias("p"))
-    return parts.groupBy("_s", "p.offset").agg(F.sum("p.words").alias("taken"))
+    parts = parts.select("_k", F.explode(F.zip_with("docs", ends, lambda d, e: F.struct(d.alias("offset"), (e - F.greatest(d, F.col("begin"))).alias("words")))).alias("p"))
+    return parts.groupBy("_k", "p.offset").agg(F.sum("p.words").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -284,9 +319,9 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = durable(targets(sizes))
     buckets, bases = bucketed(sizes, plan)
     taken = words_taken(stored(_mixed(docs, plan, buckets, bases)))
-    within = Window.partitionBy("_s", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    on_line = _with_bases(sizes, buckets, bases).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    counted = on_line.select("_s", "doc_id", "size", "offset").join(taken, ["_s", "offset"], "left").select("_s", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    within = Window.partitionBy("_k", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    on_line = _with_bases(sizes.filter("size > 0"), buckets, bases).withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    counted = on_line.select("_s", "_k", "doc_id", "size", "offset").join(taken, ["_k", "offset"], "left").select("_s", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     figures = counted.unionByName(sizes.filter("size = 0").select("_s", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     return figures.join(sized_broadcast(plan.select("_s", "source_size", "target"), plan.count()), "_s").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
