@@ -37,6 +37,37 @@ def test_full_partial_failed(spark, tmp_path):
     assert json.loads((tmp_path / "pool.summary.json").read_text())["outcome"] == "failed"
 
 
+def test_cap_and_truncation(spark, tmp_path, monkeypatch):
+    """A body gives no more records than the cap; its source is truncated and the run partial."""
+    from tidewell import harvest as run
+    from tidewell.sources import bodies as src
+
+    monkeypatch.setattr(run, "RECORD_CAP", 3)
+    monkeypatch.setattr(run, "records", lambda b: src.records(b, 3))
+    many = "x " * 20 + " ".join(f"1.1.1.{k}:80" for k in range(9))
+    landed = bodies(spark, many, "1.1.2.1:80 1.1.2.2:80", '[{"ip":"1.1.3.1","port":1,"protocols":["http","https","socks4","socks5"]}]').withColumn("parse_kind", F.when(F.col("ord") == 2, "json").otherwise("entries"))
+    r = harvest(landed, chains(spark, 3), str(tmp_path / "o.txt"))
+    assert (r.outcome, r.records_total) == ("partial", 3 + 2 + 3)
+    doc = json.loads((tmp_path / "o.summary.json").read_text())
+    assert [p["truncated"] for p in doc["providers"]] == [True, False, True] and "cap" in doc["providers"][0]["errors"][0]
+    assert (tmp_path / "o.txt").read_text().split()[:3] == [f"http://1.1.1.{k}:80" for k in range(3)]
+
+
+def test_write_error_leaves_a_failed_summary(spark, tmp_path):
+    (tmp_path / "p.txt").mkdir()  # the pool cannot be renamed over a folder
+    with pytest.raises(OSError):
+        harvest(bodies(spark, "1.1.1.1:80"), chains(spark, 1), str(tmp_path / "p.txt"))
+    assert json.loads((tmp_path / "p.summary.json").read_text())["outcome"] == "failed"
+
+
+def test_decoding(spark):
+    from tidewell.sources.bodies import decode_bodies
+
+    rows = [(1, b"caf\xe9 \x80", "text/plain; charset=ISO-8859-1"), (2, "é".encode() + b"\xff", None), (3, b"\xff\xfea\0", "x"), (4, b"\xef\xbb\xbfb", "text/plain; charset=nope"), (5, "жук".encode("koi8-r"), 'text/html; charset="KOI8-R"')]
+    got = {r["k"]: r["body"] for r in decode_bodies(spark.createDataFrame([(k, bytearray(b), t) for k, b, t in rows], "k int, content binary, content_type string")).collect()}
+    assert got == {1: "café €", 2: "é\ufffd", 3: "a", 4: "b", 5: "жук"}
+
+
 def test_atomic_write_leaves_no_rest(tmp_path):
     target = tmp_path / "t"
     target.write_text("old")

@@ -38,44 +38,63 @@ def _raw(df: DataFrame, scheme: Column, host: Column, port: Column) -> DataFrame
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def link_rows(df: DataFrame, html: str, default: str) -> DataFrame:
-    """H3: ``/host/port#proto`` links; the scheme is the fragment's, else the first word of the row's, else the default."""
+def link_fields(row: Column, default: Column) -> tuple[Column, Column, Column]:
+    """H3: scheme, host and port of a row's ``/host/port#proto`` link; the scheme is the fragment's, else the first word of the row's, else the default."""
     from tidewell.functions.scheme import canon
 
-    d = _exploded(df, html).filter(F.col("_row").rlike(LINK))
-    word = F.regexp_extract(lower_ascii(F.col("_row")), WORD, 1)
-    scheme = F.coalesce(canon(F.regexp_extract("_row", LINK, 3)), canon(word), F.col(default))
-    return _raw(d, scheme, F.regexp_extract("_row", LINK, 1), F.regexp_extract("_row", LINK, 2))
+    word = F.regexp_extract(lower_ascii(row), WORD, 1)
+    scheme = F.coalesce(canon(F.regexp_extract(row, LINK, 3)), canon(word), default)
+    return scheme, F.regexp_extract(row, LINK, 1), F.regexp_extract(row, LINK, 2)
 
 
-def base64_rows(df: DataFrame, html: str, default: str) -> DataFrame:
+def base64_fields(row: Column, default: Column) -> tuple[Column, Column, Column]:
     """H4: base64 ``data-ip`` and ``data-port`` of the same row."""
-    d = _exploded(df, html)
-    return _raw(d, F.col(default), base64_text(F.regexp_extract("_row", 'data-ip="([^"]+)"', 1)), base64_text(F.regexp_extract("_row", 'data-port="([^"]+)"', 1)))
+    return default, base64_text(F.regexp_extract(row, 'data-ip="([^"]+)"', 1)), base64_text(F.regexp_extract(row, 'data-port="([^"]+)"', 1))
+
+
+def web_scheme(texts: Column) -> Column:
+    """H6: HTTP or HTTPS in the fourth of at least four cells."""
+    label = upper_ascii(F.get(texts, F.lit(3)))
+    return F.when(label == "HTTP", "http").when(label == "HTTPS", "https")
+
+
+def socks_scheme(texts: Column) -> Column:
+    """H7: Socks4 or Socks5 in the fifth of five cells."""
+    label = F.replace(lower_ascii(F.get(texts, F.lit(4))), F.lit(" "), F.lit(""))
+    return F.when(label.isin("socks4", "socks5"), label)
+
+
+def link_rows(df: DataFrame, html: str, default: str) -> DataFrame:
+    return _raw(_exploded(df, html).filter(F.col("_row").rlike(LINK)), *link_fields(F.col("_row"), F.col(default)))
+
+
+def base64_rows(df: DataFrame, html: str, default: str) -> DataFrame:
+    return _raw(_exploded(df, html), *base64_fields(F.col("_row"), F.col(default)))
+
+
+def pairs(html: Column) -> Column:
+    """H5: neighbouring address and port cells of the first layui table."""
+    table = F.regexp_extract(html, FIRST_TABLE, 1)
+    return F.arrays_zip(F.regexp_extract_all(table, F.lit(PAIR), F.lit(1)).alias("h"), F.regexp_extract_all(table, F.lit(PAIR), F.lit(2)).alias("p"))
 
 
 def table_pairs(df: DataFrame, html: str) -> DataFrame:
-    """H5: neighbouring address and port cells of the first layui table; always http."""
-    table = F.regexp_extract(F.col(html), FIRST_TABLE, 1)
-    pairs = F.arrays_zip(F.regexp_extract_all(table, F.lit(PAIR), F.lit(1)).alias("h"), F.regexp_extract_all(table, F.lit(PAIR), F.lit(2)).alias("p"))
-    d = df.select("*", F.posexplode(pairs).alias("row_ix", "_pair"))
+    """H5: always http."""
+    d = df.select("*", F.posexplode(pairs(F.col(html))).alias("row_ix", "_pair"))
     return _raw(d, F.lit("http"), F.col("_pair.h"), F.col("_pair.p"))
 
 
 def column_rows(df: DataFrame, html: str, kind: str) -> DataFrame:
-    """H6 (``web``: HTTP or HTTPS in the fourth of at least four cells) and H7 (``socks``: Socks4/5 in the fifth of five)."""
+    """H6 (``web``) and H7 (``socks``)."""
     d = bind(_exploded(df, html), _c=cells(F.col("_row")))
-    at = lambda i: F.get("_c", F.lit(i))
-    if kind == "web":
-        label = upper_ascii(at(3))
-        scheme = F.when(label == "HTTP", "http").when(label == "HTTPS", "https")
-    else:
-        label = F.replace(lower_ascii(at(4)), F.lit(" "), F.lit(""))
-        scheme = F.when(label.isin("socks4", "socks5"), label)
-    return _raw(bind(d, _s=scheme).filter(F.col("_s").isNotNull()), F.col("_s"), at(0), at(1))
+    d = bind(d, _s=(web_scheme if kind == "web" else socks_scheme)(F.col("_c"))).filter(F.col("_s").isNotNull())
+    return _raw(d, F.col("_s"), F.get("_c", F.lit(0)), F.get("_c", F.lit(1)))
 
 
-def textarea_tokens(df: DataFrame, html: str, out: str = "token") -> DataFrame:
+def textarea_words(html: Column) -> Column:
     """H8: entry tokens of the first text area, character references undone."""
-    text = F.when(F.col(html).rlike(TEXTAREA), unescape_html(F.regexp_extract(html, TEXTAREA, 1)))
-    return df.select("*", F.posexplode(words_ws(text)).alias("row_ix", out))
+    return words_ws(F.when(html.rlike(TEXTAREA), unescape_html(F.regexp_extract(html, TEXTAREA, 1))))
+
+
+def textarea_tokens(df: DataFrame, html: str, out: str = "token") -> DataFrame:
+    return df.select("*", F.posexplode(textarea_words(F.col(html))).alias("row_ix", out))

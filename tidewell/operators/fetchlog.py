@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import trim_ws
+
 # Statuses that are tried again (0: no answer).
 RETRY = [0, 408, 425, 429, 500, 502, 503, 504]
 BREAKER = 8
@@ -22,8 +24,8 @@ def valid_etag(etag: Column) -> Column:
 
 
 def usable_cache(cache: DataFrame) -> DataFrame:
-    """Cache rows with a valid etag and a body that is not blank."""
-    return cache.filter(valid_etag(F.col("etag")) & (F.trim("body") != ""))
+    """Cache rows with a valid etag (white space around it does not count) and a body that is not blank."""
+    return cache.withColumn("etag", trim_ws(F.col("etag"))).filter(valid_etag(F.col("etag")) & (trim_ws(F.col("body")) != ""))
 
 
 def status_class(status: Column, blank: Column, cached: Column) -> Column:
@@ -43,9 +45,9 @@ def resolve_304(log: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def merge_cache(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by URL; the new row wins."""
+    """Upsert by URL; the new row wins, of several the one with the smallest etag and body."""
     both = usable_cache(new).withColumn("_p", F.lit(0)).unionByName(usable_cache(old).withColumn("_p", F.lit(1)))
-    return both.groupBy("url").agg(F.min_by(F.struct("etag", "body"), "_p").alias("_b")).select("url", "_b.etag", "_b.body")
+    return both.groupBy("url").agg(F.min(F.struct("_p", "etag", "body")).alias("_b")).select("url", "_b.etag", "_b.body")
 
 
 def breaker(log: DataFrame, host: str, order: list[str], threshold: int = BREAKER) -> DataFrame:
@@ -63,4 +65,4 @@ def breaker(log: DataFrame, host: str, order: list[str], threshold: int = BREAKE
 
 def attempts(log: DataFrame) -> DataFrame:
     """Tries of each URL, and the last status."""
-    return log.groupBy("url").agg(F.count("*").alias("tries"), F.count_if(F.col("status") == 429).alias("limited"), F.max_by("status", "ts").alias("last_status"))
+    return log.groupBy("url").agg(F.count("*").alias("tries"), F.count_if(F.col("status") == 429).alias("limited"), F.max(F.struct("ts", "status"))["status"].alias("last_status"))

@@ -21,6 +21,11 @@ def first_wins(records: DataFrame, order: list[str] = ORDER) -> DataFrame:
     return records.groupBy(*KEY, "url").agg(F.min_by("source", lead).alias("source"))
 
 
+def per_body(records: DataFrame) -> DataFrame:
+    """One row for each endpoint and body, with its copies and its first place: a hash aggregate, for it only keeps numbers."""
+    return records.groupBy(*KEY, "url", "source", "provider_id", "ord", "seed_ix", "page_ix").agg(F.min("rec_ix").alias("rec_ix"), F.count("*").alias("copies"))
+
+
 def pool_order(pool: DataFrame) -> DataFrame:
     """O1: scheme ordinal, host bytes, port number, user and password with nulls first."""
     return pool.orderBy(ordinal(F.col("scheme")), "host", "port", F.col("user").asc_nulls_first(), F.col("pass").asc_nulls_first())

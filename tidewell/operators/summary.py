@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 SHOWN = 3
 
 
+CAP_ERROR = "page record cap hit: truncated, not exhaustive"
+
+
 def provider_runs(chains: DataFrame, records: DataFrame) -> DataFrame:
-    """Chains to providers. Providers without a record keep their row; records count before merging."""
+    """Chains to providers. Providers without a record keep their row; records count before merging.
+
+    ``records`` has rows with provider_id, or counts by provider (``records``, and ``capped`` where a body hit the record cap:
+    such a provider is truncated and has an error that says so).
+    """
     own = chains.groupBy("provider_id").agg(
         F.sum("ok_requests").alias("ok_requests"),
         F.sum("total_requests").alias("total_requests"),
@@ -17,8 +24,12 @@ def provider_runs(chains: DataFrame, records: DataFrame) -> DataFrame:
         F.bool_or("truncated").alias("truncated"),
         F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"),
     )
-    counted = records.groupBy("provider_id").agg(F.count("*").alias("records"))
-    return own.join(counted, "provider_id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    if "capped" not in records.columns:
+        return own.join(records.groupBy("provider_id").agg(F.count("*").alias("records")), "provider_id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    joined = own.join(records.select("provider_id", "records", F.col("capped").alias("_capped")), "provider_id", "left")
+    hit = F.coalesce("_capped", F.lit(False))
+    errors = F.when(hit, F.array_sort(F.array_append("errors", F.lit(CAP_ERROR)))).otherwise(F.col("errors"))
+    return joined.withColumns({"records": F.coalesce("records", F.lit(0)), "truncated": F.col("truncated") | hit, "errors": errors}).drop("_capped")
 
 
 def outcome(total: Column, unique: Column, failures: Column, providers: Column, all_clean: Column) -> Column:

@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 from tidewell.functions import gate as g
 from tidewell.functions import hosts as h
 from tidewell.functions.entry import parse_entries, skipped
-from tidewell.functions.jsonrec import parse_strict
 from tidewell.functions.scheme import SCHEMES, canon, ordinal
 from tidewell.functions.text import lines, tokens
 from tidewell.operators.merge import first_wins, pool_order, scheme_counts
 from tidewell.operators.summary import provenance
 from tidewell.plans.derived import CIDR_SQL, DERIVED_SQL, HOSTNAME_SQL, PARSED_SQL, canon_sql, derived, ip4_number_sql, table, trim_sql, unusable4_sql
-from tidewell.sources.bodies import capped, effective_kind
+from tidewell.sources.bodies import effective_kind, ndjson_line, records
 
 QUAD = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 STARTED = 1_700_000_000
 
 
-def parsed(spark, sf_dir, ipv6=False):
-    """Gated records of the derived feed. Its hosts hold no colon, so the IPv6 branch is left out of the plan."""
-    return g.gate(parse_entries(derived(spark, sf_dir), "token", "default_scheme"), ipv6)
+def parsed(spark, sf_dir):
+    """Gated records of the derived feed, through the gate of a run."""
+    return g.gate(parse_entries(derived(spark, sf_dir), "token", "default_scheme"))
 
 
 def merged(spark, sf_dir):
@@ -139,18 +138,36 @@ def q_provenance(spark, sf_dir):
 
 
 def q_body_cap(spark, sf_dir):
-    """W4, O5 with a small cap: the first 40 tokens of each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.flatten(F.transform(lines(F.col("text")), tokens))).alias("rec_ix", "token"))
-    kept = capped(d, ["doc_id"], 40)
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), (F.count("*") >= 40).alias("cap_hit"), F.max_by("token", "rec_ix").alias("last_token"))
+    """W4, O5 with a small cap: the first 40 tokens of each document; a slice, no row leaves its place."""
+    every = F.flatten(F.transform(lines(F.col("text")), tokens))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(every, 1, 40).alias("kept")).filter(F.size("kept") > 0)
+    return d.select("doc_id", F.size("kept").cast("long").alias("n"), (F.size("kept") >= 40).alias("cap_hit"), F.element_at("kept", -1).alias("last_token"))
 
 
 def q_ndjson_filter(spark, sf_dir):
-    """Lines that start with a brace and are valid JSON."""
+    """Lines that start with a brace, blanks and tabs aside, and are valid JSON."""
     d = derived(spark, sf_dir)
-    line = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"ip":"', ep, '"}') WHEN 1 THEN concat('  {"n":', event_id, '}') WHEN 2 THEN concat('{"ip":', ep) ELSE ep END""")
-    d = d.select("event_id", line.alias("line"))
-    return d.filter(F.startswith(F.ltrim("line"), F.lit("{")) & parse_strict(F.col("line")).isNotNull())
+    line = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"ip":"', ep, '"}') WHEN 1 THEN concat(chr(9), ' {"n":', event_id, '}') WHEN 2 THEN concat('{"ip":', ep) ELSE ep END""")
+    return d.select("event_id", line.alias("line")).filter(ndjson_line(F.col("line")))
+
+
+def q_body_dispatch(spark, sf_dir):
+    """Bodies of every kind, each with an endpoint of the feed and a fixed one, through the run's dispatch."""
+    d = derived(spark, sf_dir).withColumn("host", F.substring_index("ep", ":", 1)).withColumn("port", F.substring_index("ep", ":", -1))
+    kinds = "entries", "ndjson", "json", "link_rows", "base64_rows", "table_pairs", "web_columns", "textarea", "auto"
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    code = lambda x: f"rtrim('=', base64(cast({x} as binary)))"
+    body = F.expr(f"""CASE event_id % 9 WHEN 0 THEN concat('# list', chr(10), ep, chr(13), chr(10), '9.9.9.9:80')
+  WHEN 1 THEN concat(chr(9), '{{"ip":"', host, '","port":', port, '}}', chr(10), '{{"proxy":"9.9.9.9:80"}}')
+  WHEN 2 THEN concat('{{"data":[{{"ip":"', host, '","port":"', port, '"}},"9.9.9.9:80"],"total":2}}')
+  WHEN 3 THEN concat('<tr><a href="/', host, '/', port, '#http">x</a><tr><a href="/9.9.9.9/80">x</a>')
+  WHEN 4 THEN concat('<tr><td data-ip="', {code("host")}, '"><td data-port="', {code("port")}, '"><tr><td data-ip="', {code("'9.9.9.9'")}, '"><td data-port="', {code("'80'")}, '">')
+  WHEN 5 THEN concat('<table class="layui-table"><td>', host, '</td><td>', lpad(port, 5, '0'), '</td><td>9.9.9.9</td><td>80</td></table>')
+  WHEN 6 THEN concat('<tr><td>', host, '</td><td>', port, '</td><td></td><td>HTTP</td><tr><td>9.9.9.9</td><td>80</td><td></td><td>http</td>')
+  WHEN 7 THEN concat('<textarea>', ep, chr(10), '9.9.9.9:80</textarea>')
+  ELSE concat('["', ep, '", {{"host":"9.9.9.9","port":80}}]') END""")
+    landed = d.select(F.lit("p").alias("provider_id"), F.lit(0).alias("ord"), F.lit(0).alias("seed_ix"), F.col("event_id").cast("int").alias("page_ix"), "default_scheme", kind.alias("parse_kind"), body.alias("body"))
+    return records(landed).select(F.col("page_ix").cast("long").alias("event_id"), "url")
 
 
 def q_auto_sniff(spark, sf_dir):
@@ -160,7 +177,7 @@ def q_auto_sniff(spark, sf_dir):
     return effective_kind(d.select("event_id", body.alias("body"), F.lit("auto").alias("parse_kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (q_entry_tokens, q_entry_parse, q_port_gate, q_hostname_gate, q_ipv4_extract, q_ipv4_special_ranges, q_cidr_range_join, q_ipv6_canon, q_cred_filter, q_scheme_canon, q_dedupe_first_wins, q_dedupe_sorted_url, q_scheme_counts, q_provenance, q_body_cap, q_ndjson_filter, q_auto_sniff)}
+QUERIES = {f.__name__: f for f in (q_entry_tokens, q_entry_parse, q_port_gate, q_hostname_gate, q_ipv4_extract, q_ipv4_special_ranges, q_cidr_range_join, q_ipv6_canon, q_cred_filter, q_scheme_canon, q_dedupe_first_wins, q_dedupe_sorted_url, q_scheme_counts, q_provenance, q_body_cap, q_ndjson_filter, q_body_dispatch, q_auto_sniff)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\x0B\f\r,;\n]'), lambda x: x <> '')"
 _MERGED = f"WITH {DERIVED_SQL}, {PARSED_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY scheme, host, port, \"user\", pass ORDER BY ord, rec_ix) AS k FROM r)"
@@ -194,7 +211,9 @@ SELECT label, scheme, CAST(CASE scheme {' '.join(f"WHEN '{s}' THEN {i}" for i, s
     "q_provenance": _MERGED + " SELECT '{\"proxy\":\"' || url || '\",\"run_started_at\":" + str(STARTED) + ",\"source\":\"' || source || '\"}' AS value FROM m WHERE k = 1",
     "q_body_cap": f"""WITH a AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
 SELECT doc_id, CAST(least(40, len(t)) AS BIGINT) AS n, len(t) >= 40 AS cap_hit, t[least(40, len(t))] AS last_token FROM a WHERE len(t) > 0""",
-    "q_ndjson_filter": f"""WITH {DERIVED_SQL}, x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"ip":"' || ep || '"}}' WHEN 1 THEN '  {{"n":' || event_id || '}}' WHEN 2 THEN '{{"ip":' || ep ELSE ep END AS line FROM d)
-SELECT event_id, line FROM x WHERE starts_with(ltrim(line), '{{') AND json_valid(line)""",
-    "q_auto_sniff": "SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'ndjson' WHEN 2 THEN 'json' WHEN 3 THEN 'json' ELSE 'entries' END AS kind FROM events) GROUP BY kind",
+    "q_ndjson_filter": f"""WITH {DERIVED_SQL}, x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"ip":"' || ep || '"}}' WHEN 1 THEN chr(9) || ' {{"n":' || event_id || '}}' WHEN 2 THEN '{{"ip":' || ep ELSE ep END AS line FROM d)
+SELECT event_id, line FROM x WHERE starts_with(ltrim(line, chr(9) || ' '), '{{') AND json_valid(line)""",
+    "q_body_dispatch": f"""WITH {DERIVED_SQL} SELECT event_id, 'http://' || ep AS url FROM d WHERE NOT {unusable4_sql('ip')} UNION ALL SELECT event_id, 'http://9.9.9.9:80' FROM d""",
+    "q_auto_sniff": f"""WITH {DERIVED_SQL}, x AS (SELECT CASE event_id % 5 WHEN 0 THEN '{{"ip":"' || ep || '"}}' WHEN 1 THEN '{{"a":1}}' || chr(10) || '{{"a":2}}' WHEN 2 THEN ' ["' || ep || '"]' WHEN 3 THEN '[::1]:80' ELSE ep END AS body FROM d)
+SELECT CASE WHEN starts_with(ltrim(body), '[') THEN 'json' WHEN starts_with(ltrim(body), '{{') THEN CASE WHEN json_valid(body) THEN 'json' ELSE 'ndjson' END ELSE 'entries' END AS kind, count(*) AS n FROM x GROUP BY ALL""",
 }

@@ -8,8 +8,11 @@ from tidewell.functions.times import http_date_seconds, retry_after_seconds, rfc
 from tidewell.operators import fetchlog as fl
 from tidewell.operators import paging as pg
 from tidewell.operators import summary as sm
-from tidewell.plans.derived import table
+from tidewell.operators.merge import first_wins, per_body
+from tidewell.operators.summary import provider_runs
+from tidewell.plans.derived import DERIVED_SQL, PARSED_SQL, derived, table
 from tidewell.sources import registry as rg
+from tidewell.sources.bodies import BODY, records
 
 # ---------------------------------------------------------------- registry
 
@@ -93,12 +96,29 @@ def q_cache_lookup(spark, sf_dir):
 
 def q_cache_merge(spark, sf_dir):
     """Upsert of the cache, new rows first."""
-    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), (F.col("c_custkey") % 997).cast("string")).alias("url"), "c_custkey").filter("c_custkey < 997")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), (F.col("c_custkey") % 997).cast("string")).alias("url"), "c_custkey")
     old = rows.select("url", F.concat(F.lit("o"), "url").alias("etag"), F.lit("old").alias("body"))
     new = rows.filter("c_custkey % 3 = 0").select("url", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("n"), "url")).otherwise(F.lit("bad tag")).alias("etag"), F.lit("new").alias("body"))
     return fl.merge_cache(old, new)
 
 
+HARVEST_CAP = 50
+
+
+def q_harvest_summary(spark, sf_dir):
+    """Line bodies of all sources, capped, merged and counted as the run does."""
+    d = derived(spark, sf_dir).filter("event_id % 9 <> 8").withColumn("page_ix", F.expr("cast(event_id div 1000 as int)"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "token"))), lambda x: x["token"]), "\n")
+    landed = d.groupBy(F.col("source").alias("provider_id"), "ord", F.lit(0).alias("seed_ix"), "page_ix", "default_scheme").agg(text.alias("body")).withColumn("parse_kind", F.lit("entries"))
+    once = per_body(records(landed, HARVEST_CAP))
+    counted = once.groupBy(*BODY).agg(F.sum("copies").alias("records"))
+    by_provider = counted.groupBy("provider_id").agg(F.sum("records").alias("records"), F.max(F.col("records") >= HARVEST_CAP).alias("capped"))
+    chains = landed.groupBy("provider_id").agg(F.count("*").alias("ok_requests"), F.count("*").alias("total_requests"), F.lit(0.5).alias("duration_secs"), F.lit(False).alias("truncated")).withColumn("errors", F.array().cast("array<string>"))
+    first = first_wins(once).groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n_first"))
+    runs = provider_runs(chains, by_provider).join(first, F.col("provider_id") == F.col("_s"), "left")
+    return runs.select("provider_id", F.col("records").cast("long").alias("records"), "truncated", F.size("errors").alias("n_errors"), F.coalesce("n_first", F.lit(0)).alias("n_first"))
+
+
 def q_status_class(spark, sf_dir):
     """X1, F14"""
     log = _log(spark, sf_dir)
@@ -186,7 +206,7 @@ def q_url_seen(spark, sf_dir):
     return pg.unseen(e.filter("event_type <> 'view'").select("provider_id", url(90).alias("url")), seen)
 
 
-QUERIES = {f.__name__: f for f in (q_seed_plan, q_list_providers, q_provider_select, q_registry_integrity, q_paging_expected, q_paging_truncation, q_cache_lookup, q_cache_merge, q_status_class, q_breaker_streak, q_attempts, q_retry_after, q_rfc3339, q_declared_size, q_provider_rollup, q_run_outcome, q_error_sample, q_url_seen)}
+QUERIES = {f.__name__: f for f in (q_harvest_summary, q_seed_plan, q_list_providers, q_provider_select, q_registry_integrity, q_paging_expected, q_paging_truncation, q_cache_lookup, q_cache_merge, q_status_class, q_breaker_streak, q_attempts, q_retry_after, q_rfc3339, q_declared_size, q_provider_rollup, q_run_outcome, q_error_sample, q_url_seen)}
 
 _SEEDS = [  # ord, id, seeds, schemes, kinds; from the survey's inventory, not from the registry module
     (0, "thespeedx", 3, "http,socks4,socks5", "entries"), (1, "hproxy", 4, "http,https,socks4,socks5", "entries"), (2, "monosans", 4, "http,socks4,socks5", "entries,json"), (3, "databay-labs", 3, "http,socks4,socks5", "entries"),
@@ -216,8 +236,15 @@ s AS (SELECT user_id, CAST(page AS INT) AS page, CASE WHEN user_id % 13 = 1 THEN
   WHEN user_id % 13 = 3 THEN 'provider time budget' ELSE 'missing page' END AS reason FROM p)
 SELECT user_id, page, reason, reason NOT IN ('exhausted', 'seen', 'fetch failed', 'parser panicked') AS truncated, CASE WHEN reason NOT IN ('exhausted', 'seen') THEN reason END AS error FROM s""",
     "q_cache_lookup": f"WITH {_LOG}, c AS (SELECT *, event_type = 'view' AND user_id % 4 IN (0, 3) AND user_id % 7 <> 0 AS cached FROM l) SELECT event_id, cached, CASE WHEN status = 304 THEN CASE WHEN cached THEN 'c' || user_id END ELSE body END AS body FROM c",
-    "q_cache_merge": """WITH r AS (SELECT 'u' || (c_custkey % 997) AS url, c_custkey AS k FROM customer WHERE c_custkey < 997)
-SELECT url, CASE WHEN k % 6 = 0 THEN 'n' ELSE 'o' END || url AS etag, CASE WHEN k % 6 = 0 THEN 'new' ELSE 'old' END AS body FROM r""",
+    "q_cache_merge": """WITH r AS (SELECT 'u' || (c_custkey % 997) AS url, c_custkey AS k FROM customer)
+SELECT url, CASE WHEN bool_or(k % 6 = 0) THEN 'n' ELSE 'o' END || url AS etag, CASE WHEN bool_or(k % 6 = 0) THEN 'new' ELSE 'old' END AS body FROM r GROUP BY url""",
+    "q_harvest_summary": f"""WITH {DERIVED_SQL}, {PARSED_SQL}, n AS (SELECT *, rec_ix // 1000 AS page, row_number() OVER (PARTITION BY source, rec_ix // 1000 ORDER BY rec_ix) AS i FROM r WHERE rec_ix % 9 <> 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord, page, rec_ix) AS first FROM n WHERE i <= {HARVEST_CAP}),
+p AS (SELECT source, page, count(*) AS c FROM k GROUP BY ALL),
+t AS (SELECT source, max(c) >= {HARVEST_CAP} AS hit FROM p GROUP BY source),
+s AS (SELECT DISTINCT source FROM d WHERE event_id % 9 <> 8)
+SELECT s.source AS provider_id, count(k.url) AS records, coalesce(any_value(hit), false) AS truncated, CAST(coalesce(any_value(hit), false)::INT AS INT) AS n_errors, count(*) FILTER (first = 1) AS n_first
+FROM s LEFT JOIN k ON k.source = s.source LEFT JOIN t ON t.source = s.source GROUP BY s.source""",
     "q_status_class": f"WITH {_LOG} SELECT CAST(status AS INT) AS status, CASE WHEN status = 304 AND user_id % 2 = 0 THEN 'hit' WHEN status = 200 AND event_id % 10 <> 0 THEN 'ok' WHEN status = 429 THEN 'limited' WHEN status IN (0, 503, 200) THEN 'retry' ELSE 'permanent' END AS kind, count(*) AS n FROM l GROUP BY ALL",
     "q_breaker_streak": """WITH a AS (SELECT event_id, ts, user_id % 50 AS host, event_type = 'purchase' AS ok, event_type IN ('error', 'click') AS bad FROM events),
 b AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a),
