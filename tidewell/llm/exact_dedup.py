@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, durable, heat_threshold, shuffle_partitions, sized_broadcast, table, text_of
+from tidewell.llm.common import ascii_lower, durable, fresh, heat_threshold, shuffle_partitions, sized_broadcast, table, text_of
 
 LEAD, ENDS = 16, 48
 
@@ -97,17 +97,18 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Where every row has an id of its own, the ids to drop are enough; else ids and digests are joined.
     """
     decided = durable(exact_dedup(docs))
+    gone_id, kept_id, kept_sha, sha, nth = fresh(docs.columns, "_gone", "_kept_id", "_kept_sha", "_sha", "_nth")
     if decided.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 OR doc_id IS NULL").isEmpty():
-        gone = decided.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-        return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    one = Window.partitionBy("_kept_id", "_kept_sha").orderBy(F.lit(1))
-    named = docs.withColumn("_sha", F.sha2(F.encode(ascii_lower(text_of()), "UTF-8"), 256))
+        gone = decided.filter("NOT kept").select(F.col("doc_id").alias(gone_id))
+        return docs.join(sized_broadcast(gone, gone.count()), F.col("doc_id") == F.col(gone_id), "left_anti")
+    kept = decided.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    one = Window.partitionBy(kept_id, kept_sha).orderBy(F.lit(1))
+    named = docs.withColumn(sha, F.sha2(F.encode(ascii_lower(text_of()), "UTF-8"), 256))
     return (
-        named.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
-        .withColumn("_one", F.row_number().over(one))
-        .filter("_one = 1")
-        .select(*[F.col(c) for c in docs.columns])
+        named.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)))
+        .withColumn(nth, F.row_number().over(one))
+        .filter(F.col(nth) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 
