@@ -1,15 +1,15 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
 Quality rejects go, exact copies and near copies leave one document each, benchmark passages are cut out, and
-the rest is mixed to the sources' target weights. The last stage returns the mix: doc_id, size,
-source_size, target and taken for every document that is left.
+the rest is mixed to the sources' target weights. The last stage writes the mixed corpus into the shared folder and returns what it
+holds of every document that is left: doc_id, size, source_size, target and taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import stored, table
+from tidewell.llm.common import discard, stored, table
 from tidewell.llm.decontaminate import remove_benchmark
 from tidewell.llm.exact_dedup import drop_exact_copies
 from tidewell.llm.minhash_dedup import keep_one_of_each
@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the documents; a stage's stored table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs)
+            out = stored(out)
+            if k:
+                discard(docs)
+        docs = out
     return docs
