@@ -380,9 +380,11 @@ def exact_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     texts = durable(texts.join(sized_broadcast(crowd.select("node", "root").distinct(), n_rows), F.col("_id") == F.col("node")).select("node", "root", "text").distinct())
     floor = max(2, -(-n_tokens // LISTED))
-    listed = texts.mapInPandas(_frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toPandas()
-    order = np.argsort(listed["token"].to_numpy(np.int64).view(np.uint64))
-    known = spark.sparkContext.broadcast((listed["token"].to_numpy(np.int64).view(np.uint64)[order], listed["df"].to_numpy(np.int64)[order]))
+    # at most LISTED rows, as Arrow: rows as Python objects would take twenty times the memory
+    listed = texts.mapInPandas(_frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toArrow()
+    token = listed.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    known = spark.sparkContext.broadcast((token[order], listed.column("df").to_numpy().astype(np.int64)[order]))
 
     def show(batches):
         tokens, dfs = known.value

@@ -140,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"))
     # repeated ids are rows of their own: the bound is on rows
-    rows = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).collect()
-    return fit(np.array([r["x"] for r in rows], float).reshape(-1, FEATURES), np.array([r["quality"] for r in rows], int))
+    rows = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return fit(np.asarray(x, float).reshape(-1, FEATURES), np.asarray(rows.column("quality").to_numpy(), int))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
