@@ -94,7 +94,10 @@ def test_near_common_boilerplate(spark, monkeypatch, cell):
     assert got == {i: 11 if i in short else i for i, _ in rows}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [200_000, 20, 0])
+def test_components(spark, monkeypatch, local):
+    """Finished by one task from the start, at the end, or never."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
     parent = {}
