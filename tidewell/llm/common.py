@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +42,57 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1024
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within an operator's own jobs at most ``BATCH_ROWS`` texts pass to Python at a time; the session's setting is put back."""
+    before = spark.conf.get(BATCH, None)
+    if before is None or not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+
+
+def release() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def trims(function):
+    """For functions of Python workers: ``release`` once a task is done, for workers are used again."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the whole cluster shares."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table with texts as Parquet into the shared folder and read it again; ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +134,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def each(column):
+    """The values of an Arrow column one at a time, so that a batch of texts is not held a second time as Python strings."""
+    return (value.as_py() for value in column)
+
+
 #: Rows of (long, long) up to which a counted table is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_BYTES, durable, fresh, table, words_of
+from tidewell.llm.common import WORD_BYTES, durable, each, fresh, table, trims, words_of
 from tidewell.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -157,7 +157,7 @@ def shards(windows: Windows, batches):
     """(batches, spans, items, word counts) of each shard in turn."""
     kept, shard, counts, size, rows = [], Shard(windows), [], 0, 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
+        for text in each(batch.column("text")):
             words = words_of(text)
             shard.add(rows, words)
             counts.append(len(words))
@@ -190,6 +190,7 @@ def _hits(rows: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     for block in blocks:
         windows = rows.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
 
+        @trims
         def search(batches, windows=windows):
             names = windows.value.names
             for held, spans, items, counts in shards(windows.value, batches):
@@ -240,6 +241,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(blocks) == 1:
         windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in blocks[0].collect()]))
 
+        @trims
         def clean(batches):
             for held, spans, _, counts in shards(windows.value, batches):
                 yield from _without(held, spans, counts)
@@ -250,6 +252,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _hits(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), blocks)
     found = found.filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(hit), F.col("n_words").alias(words))
 
+    @trims
     def clean_marked(batches):
         for batch in batches:
             spans: dict[int, list[tuple[int, int]]] = {}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import each, table
 
 SIGMA = 1.5
 
@@ -233,7 +233,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = [main_text(h) for h in batch.column("html").to_pylist()]
+            text = [main_text(h) for h in each(batch.column("html"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

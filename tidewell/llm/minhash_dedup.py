@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, fresh, heat_threshold, shuffle_partitions, sized_broadcast, table
+from tidewell.llm.common import durable, each, fresh, heat_threshold, shuffle_partitions, sized_broadcast, small_batches, table, trims
 from tidewell.llm.components import components
 
 WORDS = 5
@@ -51,11 +51,11 @@ NEARLY = 70  # hundredths of similarity from which a row that missed a component
 WIDE = 12  # neighbours on either side, then
 TIGHT = 0.96  # share of equal bits from which only the next neighbour is needed beside the region's smallest id
 EQUAL_BITS = 0.70  # 0.875 is expected at similarity 0.75; the deviation is 0.034
-CHUNK = 400_000  # rows of the forest held at once
+CHUNK = 200_000  # rows of the forest held at once
 PER_CHUNK = 64  # members compared with one copy of a hub's text
 LISTED = 500_000  # shingles whose frequency the exact join knows
 CELL = 8192  # rows of one shingle compared in one piece; more are dealt in parts, each pair of which meets
-SLICE = 1 << 20  # pairs of the exact join held at once
+SLICE = 1 << 18  # pairs or shingles of the exact join held at once
 
 _RNG = np.random.default_rng(5_711)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,11 +95,12 @@ def _signature(s: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, n long, same binary, high array<long>, low array<long>, b0 long, b1 long"
 
 
+@trims
 def _sketches(batches):
     """Arrow in and out: a null beside a value never turns a column of 64-bit numbers into floats."""
     for batch in batches:
         rows = []
-        for text in batch.column("text").to_pylist():
+        for text in each(batch.column("text")):
             s = shingles(text)
             if not len(s):
                 rows.append((0, None, None, None, None, None))
@@ -177,6 +178,7 @@ def candidates_in(f: dict) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+@trims
 def _walk(batches):
     """Pairs of each chunk of a range partition, and the rows at the chunk's ends, for a second pass over all ends."""
     frames, n = [], 0
@@ -218,6 +220,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs).distinct()
 
 
+@trims
 def _confirm(batches):
     hub, sets = None, []
     for frame in batches:
@@ -255,6 +258,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
+@trims
 def _wide(batches):
     """Pairs of loose rows with their wider neighbourhood, where both are of different components.
 
@@ -306,11 +310,21 @@ def crowded(classes: DataFrame, settled: DataFrame) -> DataFrame:
     return durable(rows.join(sized_broadcast(regions, regions.count()), ["tree", "high", "low"]).select("node", "root", "n").distinct())
 
 
+@trims
 def _frequencies(batches):
-    for frame in batches:
-        sets = [shingles(t) for t in frame["text"]]
+    def counted(sets):
         token, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-        yield pd.DataFrame({"token": token.view(np.int64), "df": n})
+        return pd.DataFrame({"token": token.view(np.int64), "df": n})
+
+    sets, size = [], 0
+    for frame in batches:
+        for text in frame["text"]:
+            sets.append(shingles(text))
+            size += len(sets[-1])
+            if size >= SLICE:
+                yield counted(sets)
+                sets, size = [], 0
+    yield counted(sets)
 
 
 def _meeting(n: np.ndarray, left: np.ndarray, node: np.ndarray, root: np.ndarray, part: np.ndarray, across: bool):
@@ -334,6 +348,7 @@ def _meeting(n: np.ndarray, left: np.ndarray, node: np.ndarray, root: np.ndarray
         first = last
 
 
+@trims
 def _meet(batches):
     """Pairs of rows in order of (token, cell, n)."""
 
@@ -381,15 +396,23 @@ def exact_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     texts = durable(texts.join(sized_broadcast(crowd.select("node", "root").distinct(), n_rows), F.col("_id") == F.col("node")).select("node", "root", "text").distinct())
     floor = max(2, -(-n_tokens // LISTED))
     # at most LISTED rows, as Arrow: rows as Python objects would take twenty times the memory
-    listed = texts.mapInPandas(_frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toArrow()
+    with small_batches(spark):
+        listed = texts.mapInPandas(_frequencies, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toArrow()
     token = listed.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     known = spark.sparkContext.broadcast((token[order], listed.column("df").to_numpy().astype(np.int64)[order]))
 
+    names = ["token", "cell", "part", "across", "left", "n", "node", "root"]
+
+    @trims
     def show(batches):
         tokens, dfs = known.value
+        held, size = [], 0
+
+        def rows():
+            return pd.DataFrame(dict(zip(names, np.concatenate(held, axis=1), strict=True))).astype({"across": "bool"})
+
         for frame in batches:
-            out = []
             for node, root, text in zip(frame["node"], frame["root"], frame["text"], strict=True):
                 s = shingles(text)
                 if not len(s) or not len(tokens):
@@ -402,16 +425,21 @@ def exact_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
                 if floor == 2:  # the others are in one row alone
                     some = df > 0
                     token, df, left = token[some], df[some], left[some]
-                parts = -(-df // CELL)
-                one = parts <= 1
-                token = token.view(np.int64)
-                out.append(pd.DataFrame({"token": token[one], "cell": 0, "part": 0, "across": False, "left": left[one], "n": len(s), "node": node, "root": root}))
-                for t, k, rest in zip(token[~one], parts[~one], left[~one], strict=True):
-                    own = int(_mixed(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(k))
-                    other = np.arange(k)
-                    out.append(pd.DataFrame({"token": t, "cell": np.minimum(own, other) * k + np.maximum(own, other), "part": own, "across": other != own, "left": rest, "n": len(s), "node": node, "root": root}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                # a shingle of k parts shows a row in k cells: its own part's with each part
+                parts = np.maximum(1, -(-df // CELL))
+                own = (_mixed(np.array([node], np.int64).view(np.uint64))[0] % parts.astype(np.uint64)).astype(np.int64)
+                i = np.repeat(np.arange(len(token)), parts)
+                other = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
+                k, own = parts[i], own[i]
+                cell = np.minimum(own, other) * k + np.maximum(own, other)
+                same = np.ones(len(i), np.int64)
+                held.append(np.stack((token.view(np.int64)[i], cell, own, other != own, left[i], same * len(s), same * node, same * root)))
+                size += len(i)
+                if size >= SLICE // 8:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
 
     shown = texts.mapInPandas(show, "token long, cell long, part long, across boolean, left long, n long, node long, root long")
     return shown.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInPandas(_meet, "a long, b long").distinct()

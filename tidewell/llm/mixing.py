@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import durable, shuffle_partitions, sized_broadcast, stored, table
+from tidewell.llm.common import durable, each, shuffle_partitions, sized_broadcast, stored, table, trims
 
 BLOCK = 64  # words
 MOST = 3  # times a source's size
 WEIGHTS = 3  # weights 1, 2, ... repeating over the sources in order
 SHARD_SLOTS = 4096
 GROUP = 16  # shards drawn together
+HELD_BLOCKS = 4096  # blocks a task holds before it passes them on
 SEED = 20_241
 ROUNDS = 4
 
@@ -81,9 +82,10 @@ def _columns(docs: DataFrame) -> DataFrame:
     return rows.select("_s", "doc_id", F.xxhash64("doc_id", "text").alias("_h"), "text")
 
 
+@trims
 def _counted(batches):
     for batch in batches:
-        size = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in batch.column("text").to_pylist()]
+        size = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in each(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("_s"), batch.column("doc_id"), pa.array(size, pa.int64()), batch.column("_h")], names=["_s", "doc_id", "size", "_h"])
 
 
@@ -161,6 +163,7 @@ def deal(counts: np.ndarray, group: int) -> list[np.ndarray]:
     return [*out, left]
 
 
+@trims
 def _fill(batches):
     """Slots of the groups: rows come in order of group and source."""
 
@@ -234,6 +237,7 @@ def _drawn(k: np.ndarray, block: np.ndarray, plans: dict) -> np.ndarray:
     return out
 
 
+@trims
 def _blocks(batches):
     """Drawn blocks of rows that follow each other on their source's line, with the places of their documents on it; parts of blocks at the ends of buckets."""
     at = (None, None)  # source and base of the bucket
@@ -243,17 +247,17 @@ def _blocks(batches):
 
     def close():
         block, words, own = held
-        out.append((at[0], block, words, own))
+        out.append((at[0], block, b" ".join(words), own))
 
     def table_of(rows):
         k, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
         keep = _drawn(k, block, plans)
         rows = [r for r, x in zip(rows, keep, strict=True) if x]
-        arrays = [pa.array(k[keep]), pa.array(block[keep]), pa.array([b" ".join(r[2]) for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+        arrays = [pa.array(k[keep]), pa.array(block[keep]), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(arrays, names=["_k", "block", "text", "docs"])
 
     for batch in batches:
-        for k, base, blocks, slots, key, text in zip(*(batch.column(c).to_pylist() for c in ("_k", "base", "blocks", "slots", "key", "text")), strict=True):
+        for k, base, blocks, slots, key, text in zip(*(each(batch.column(c)) for c in ("_k", "base", "blocks", "slots", "key", "text")), strict=True):
             if at != (k, base):
                 if held:
                     close()
@@ -272,7 +276,7 @@ def _blocks(batches):
                 if offset % BLOCK == 0:
                     close()
                     held = None
-                if len(out) >= 16_384:
+                if len(out) >= HELD_BLOCKS:
                     yield table_of(out)
                     out.clear()
     if held:

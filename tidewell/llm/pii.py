@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import each, table
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = 4  # kinds of the contract
@@ -384,7 +384,7 @@ def fit(docs: DataFrame) -> np.ndarray:
     def cut(batches):
         for batch in batches:
             rows = {}
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 if not text:
                     continue
                 spans = None
@@ -415,7 +415,7 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 text = text or ""
                 base = base_spans(text)
                 counts = [0] * BASE

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import each, small_batches, table, trims
 
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -133,14 +133,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     sample = labels.filter(F.col("quality").isin(0, 1) & (_remainder() != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
 
+    @trims
     def run(batches):
         for batch in batches:
-            x = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            x = pa.array([statistics(t) for t in each(batch.column("text"))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), x], names=["doc_id", "quality", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"))
     # repeated ids are rows of their own: the bound is on rows
-    rows = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).toArrow()
+    with small_batches(docs.sparkSession):
+        rows = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(FIT_ROWS).toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return fit(np.asarray(x, float).reshape(-1, FEATURES), np.asarray(rows.column("quality").to_numpy(), int))
 
@@ -149,9 +151,10 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
+    @trims
     def run(batches):
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
+            x = np.array([statistics(t) for t in each(batch.column("text"))], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(x))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -162,9 +165,10 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
+    @trims
     def run(batches):  # the columns pass as they are, whatever their types
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
+            x = np.array([statistics(t) for t in each(batch.column("text"))], float).reshape(-1, FEATURES)
             yield batch.filter(pa.array(model.value.score(x) >= ACCEPT))
 
     return docs.mapInArrow(run, docs.schema)
